@@ -37,13 +37,13 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
     per = per.withColumn("weight", weight).withColumn("full_at", most * F.col("source_size") / F.col("weight"))
-    # sources fill up in the order of full_at; the level is found where what is left no longer fills the next one
+    # sources fill up in the order of full_at; the level is found at the first that what is left does not fill (later ones give lower levels)
     rise = Window.orderBy("full_at", F.col("source").asc_nulls_last())
     below, rest = rise.rowsBetween(Window.unboundedPreceding, -1), rise.rowsBetween(0, Window.unboundedFollowing)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per = per.withColumn("left", F.sum("source_size").over(every) - most * F.coalesce(F.sum("source_size").over(below), F.lit(0)))
     per = per.withColumn("level", F.col("left") / F.sum("weight").over(rest))
-    per = per.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every))
+    per = per.withColumn("level", F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every))
     target = F.least(F.col("weight") * F.col("level"), (most * F.col("source_size")).cast("double"))
     return per.select("source", "n_docs", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 

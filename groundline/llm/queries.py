@@ -92,7 +92,7 @@ ORACLE_SQL: dict[str, str] = {
           SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY full_at, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                     / sum(weight) OVER (ORDER BY full_at, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
         t AS (
-          SELECT source, source_size, coalesce(least(weight * (SELECT min(level) FROM l WHERE level <= full_at), (3 * source_size)::DOUBLE), 0.0) AS target FROM l),
+          SELECT source, source_size, coalesce(least(weight * (SELECT max(level) FROM l WHERE level <= full_at), (3 * source_size)::DOUBLE), 0.0) AS target FROM l),
         e AS (
           SELECT doc_id, size, source_size, target,
                  CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
