@@ -66,9 +66,9 @@ def with_offsets(docs: DataFrame, pattern: str = UNICODE, key: str = "doc_seq")
     that holds one document at a time.
     """
     t = docs.select(F.col(key), F.posexplode(tiles(F.col("text"), pattern)).alias("index", "t"))
-    gap, token = F.char_length("t.0"), F.char_length("t.1")
+    gap, token = F.char_length("t.gap"), F.char_length("t.token")
     upto = F.sum(gap + token).over(Window.partitionBy(key).orderBy("index").rowsBetween(Window.unboundedPreceding, 0))
-    return t.select(key, F.col("index").cast("int").alias("index"), F.col("t.1").alias("text"), (upto - token).cast("int").alias("start_pos"), upto.cast("int").alias("end_pos"))
+    return t.select(key, F.col("index").cast("int").alias("index"), F.col("t.token").alias("text"), (upto - token).cast("int").alias("start_pos"), upto.cast("int").alias("end_pos"))
 
 
 def counted(text: Column, pattern: str = UNICODE) -> Column:

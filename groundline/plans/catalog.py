@@ -1,4 +1,354 @@
-"""Driver queries."""
+"""Driver queries over the shared tables, and the DuckDB SQL that each is held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.textops import WS
+from ..operators import alignment, chunks, merging, parsing, prompts, tokens
+from ..operators.models import RegexModel
+from ..sources import documents, html, jsonl
+from . import pipeline
+
+TASK, WINDOW = "Extract names", 40
+TARGETS = ("of the", "the", "The", "the")
+LOOKED_FOR = ("the", "ere", "de la", "anan")
+EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+SCHEMA = {"required": ["extraction_class"], "properties": {"text": {"type": "string"}, "attributes": {"type": "object"}}}
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.spread(documents.from_table(_table(spark, sf_dir, "documents"), metadata=("lang", "source")))
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A fresh place in the folder that the cluster shares."""
+    import tempfile
+    import uuid
+
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = "file://" + tempfile.mkdtemp(prefix="groundline-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def tokens_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.with_offsets(_docs(spark, sf_dir), tokens.NON_SPACE)
+
+
+def tokens_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.with_offsets(_docs(spark, sf_dir), tokens.UNICODE)
+
+
+def token_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents.spread(_table(spark, sf_dir, "documents").select("lang", "text"))
+    return docs.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(tokens.counted(F.col("text")).cast("long")).alias("n_tokens"))
+
+
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.sentences(_docs(spark, sf_dir))
+
+
+def _chunks(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    return chunks.chunked(_docs(spark, sf_dir), most)
+
+
+def chunks_2000(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir, 2000).select("doc_seq", "chunk_index", "start_pos", "end_pos", "text")
+
+
+def chunks_200(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir, 200).select("doc_seq", "chunk_index", "start_pos", "end_pos", "text")
+
+
+def chunk_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunks(spark, sf_dir, 2000).select("doc_seq", "chunk_index", "tok_start", "tok_end")
+
+
+def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return prompts.prompts(chunks.chunked(docs, 2000), docs, TASK, additional_context="Invented prose", context_window_chars=WINDOW, passes=2)
+
+
+def example_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as an example whose extraction is the first word of the turn after it."""
+    from pyspark.sql import Window
+
+    turns = _table(spark, sf_dir, "conversations")
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = turns.withColumn("wanted", F.regexp_extract(F.coalesce(after, F.lit("")), f"[^{WS}]+", 0))
+    return turns.select("conv_id", "turn", prompts.issue_column(F.col("text"), F.col("wanted")).alias("issue"))
+
+
+def _outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answers, made up from labels: prose with two fenced blocks."""
+    text = F.format_string(
+        'So:\n```json\n{"extractions": [{"class": %s, "text": "q%d", "attributes": {"doc": %d}}, null, {"extraction_class": "toxic", "extraction_text": "t%d"}]}\n```\nor ```YAML\n- text: q%d\n```',
+        F.when(F.col("quality") == 1, F.lit('"good"')).otherwise(F.lit("null")), "quality", "doc_id", "toxic", "quality",
+    )
+    return _table(spark, sf_dir, "labels").select("doc_id", text.alias("output_text"))
+
+
+def fenced_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outputs(spark, sf_dir).select("doc_id", F.posexplode(parsing.payload_column(F.col("output_text"))).alias("block", "payload"))
+
+
+def parse_json_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.item_rows(parsing.parsed(_outputs(spark, sf_dir))).drop("output_text")
+
+
+def json_items_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    block = F.get(parsing.payload_column(F.col("output_text")), F.lit(0))
+    out = _outputs(spark, sf_dir).select("doc_id", F.posexplode(parsing.json_items(block)).alias("item_index", "x")).select("doc_id", "item_index", "x.*")
+    return out.where("text is not null")
+
+
+def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.parsed(_outputs(spark, sf_dir), schema=SCHEMA).select("doc_id", F.size("items").alias("n_items"), "parse_error")
+
+
+def exact_all_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).withColumn("target", F.explode(F.array(*map(F.lit, LOOKED_FOR))))
+    return docs.select("doc_seq", "target", F.explode(alignment.occurrences(F.col("text"), F.col("target"))).alias("start_pos"))
+
+
+def exact_first_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).withColumn("target", F.explode(F.array(*map(F.lit, LOOKED_FOR))))
+    return docs.select("doc_seq", "target", alignment.first_without_case(F.col("text"), F.upper("target")).alias("start_pos"))
+
+
+def _items(docs: DataFrame, *texts) -> DataFrame:
+    return docs.select("doc_seq", F.posexplode(F.array(*texts)).alias("item_index", "text"))
+
+
+def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    # a threshold above 1 leaves out fuzzy matches, so that SQL can say the same
+    return alignment.annotate(docs, _items(docs, *map(F.lit, TARGETS)), threshold=1.01)
+
+
+def overlap_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pipeline.extraction_rows(_annotated(spark, sf_dir))
+    return rows.select("doc_seq", "extraction_index", "text", "alignment_status", F.col("char_interval.start_pos").alias("start_pos"), F.col("char_interval.end_pos").alias("end_pos"))
+
+
+def annotate_counts_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pipeline.extraction_rows(_annotated(spark, sf_dir))
+    return rows.groupBy("alignment_status").agg(F.count("*").alias("n"))
+
+
+def fuzzy_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A misspelled form of each document's own words, found again."""
+    docs = _docs(spark, sf_dir)
+    own = F.regexp_replace(F.substring("text", 1, 14), "[eo]", "x")
+    rows = pipeline.extraction_rows(alignment.annotate(docs, _items(docs, own)))
+    return rows.select("doc_seq", "text", "alignment_status", F.col("char_interval.start_pos").alias("start_pos"), F.col("char_interval.end_pos").alias("end_pos"))
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extraction-like rows made up from events: user_id as the document."""
+    e = _table(spark, sf_dir, "events")
+    start = (F.col("event_id") * 7 % 50).cast("int")
+    return e.select(
+        F.col("user_id").alias("doc_seq"), F.col("event_id").alias("seq"), start.alias("start_pos"), (start + 1 + F.col("event_id") % 5).cast("int").alias("end_pos"),
+        F.col("event_type").alias("text"), F.lit(None).cast("string").alias("description"), F.when(F.col("event_id") % 3 > 0, "a").alias("extraction_class"),
+    )
+
+
+def merge_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merging.first_of_each(_spans(spark, sf_dir))
+
+
+def merge_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merging.first_of_each(_spans(spark, sf_dir)).select("doc_seq", "seq", "start_pos", "end_pos")
+    return merging.non_overlapping(rows)
+
+
+def merge_regroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as documents, most of which have no rows."""
+    docs = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("doc_seq"))
+    rows = merging.non_overlapping(_spans(spark, sf_dir).select("doc_seq", "seq", "start_pos", "end_pos"))
+    return merging.regrouped(docs, rows).select("doc_seq", F.size("extractions").cast("long").alias("n"))
+
+
+def extract_regex_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pipeline.extract(_docs(spark, sf_dir), RegexModel({"email": EMAIL}), TASK, extraction_passes=2, prompt_validation="off")
+    rows = pipeline.extraction_rows(out)
+    return rows.select("doc_seq", "extraction_class", "text", "alignment_status", F.col("char_interval.start_pos").alias("start_pos"), F.col("char_interval.end_pos").alias("end_pos"))
+
+
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).withColumn("extractions", F.array().cast("array<string>"))
+    annotated = alignment.annotate(docs.drop("extractions"), _items(docs, F.substring("text", 1, 5)), threshold=1.01)
+    back = jsonl.load(spark, jsonl.save(annotated, _folder(spark, "jsonl")))
+    return back.select("id", "text", F.size("extractions").alias("n_extractions"), F.get_json_object("metadata_json", "$.lang").alias("lang"))
+
+
+def render_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return html.sections(alignment.annotate(docs, _items(docs, F.lit("the")), threshold=1.01))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        tokens_ws, tokens_unicode, token_counts_by_lang, sentences, chunks_2000, chunks_200, chunk_token_spans, prompt_context, example_issues,
+        fenced_payloads, parse_json_items, json_items_native, schema_violations, exact_all_occurrences, exact_first_ci, overlap_status,
+        annotate_counts_by_status, fuzzy_align, merge_distinct, merge_greedy, merge_regroup, extract_regex_model, jsonl_roundtrip, render_marks,
+    )
+}
+
+_B = chunks.BOUNDARY.replace("'", "''")
+_U = tokens.UNICODE.replace("'", "''")
+
+
+def _token_sql(pattern: str) -> str:
+    return rf"""
+        WITH t AS (
+          SELECT doc_id AS doc_seq, unnest(regexp_extract_all(text, '([{WS}]*)({pattern})', 1)) AS gap, unnest(regexp_extract_all(text, '([{WS}]*)({pattern})', 2)) AS text,
+                 generate_subscripts(regexp_extract_all(text, '([{WS}]*)({pattern})', 2), 1) - 1 AS i FROM documents),
+        o AS (SELECT *, sum(length(gap) + length(text)) OVER (PARTITION BY doc_seq ORDER BY i) AS e FROM t)
+        SELECT doc_seq, i::INT AS "index", text, (e - length(text))::INT AS start_pos, e::INT AS end_pos FROM o"""
+
+
+_SENTENCES = rf"""
+        tiled AS (
+          SELECT doc_id AS doc_seq, unnest(regexp_extract_all(text, '(?s).*?(?:{_B})|(?s).+\z')) AS s,
+                 generate_subscripts(regexp_extract_all(text, '(?s).*?(?:{_B})|(?s).+\z'), 1) AS i FROM documents),
+        placed AS (SELECT *, sum(length(s)) OVER (PARTITION BY doc_seq ORDER BY i) AS e FROM tiled),
+        sent AS (
+          SELECT doc_seq, i, s AS t, (e - length(s))::BIGINT AS s, e::BIGINT AS e FROM placed
+          WHERE regexp_matches(s, '[^{WS}\x00]'))"""
+
+
+def _chunk_sql(most: int) -> str:
+    """Sentences cut to pieces by recursion, then folded into chunks."""
+    cut = lambda at: rf"{at} + CASE WHEN regexp_matches(substr(t, {at} - s + 2, {most}), '[{WS}]') THEN length(regexp_extract(substr(t, {at} - s + 2, {most}), '(?s)^.*[{WS}]')) + 1 ELSE {most} END"
+    return rf"""{_SENTENCES},
+        piece AS (
+          SELECT doc_seq, i, t, s, e, s AS ps, (CASE WHEN e - s > {most} THEN {cut("s")} ELSE e END)::BIGINT AS pe, e - s <= {most} AS last FROM sent
+          UNION ALL
+          SELECT doc_seq, i, t, s, e, pe, (CASE WHEN e - pe > {most} THEN {cut("pe")} ELSE e END)::BIGINT, e - pe <= {most} FROM piece WHERE NOT last),
+        folded AS (
+          SELECT doc_seq, list_reduce(list({{'s': s, 'e': e, 'ps': ps, 'pe': pe, 'last': last, 'out': []::STRUCT(a BIGINT, b BIGINT)[], 'cs': -1::BIGINT, 'ce': -1::BIGINT}} ORDER BY i, ps, last), lambda acc, x:
+            {{'s': x.s, 'e': x.e, 'ps': x.ps, 'pe': x.pe, 'last': x.last,
+             'out': list_concat(list_concat(acc.out, CASE WHEN x.ps = x.s AND acc.s <> x.s AND acc.ce >= 0 AND x.e - acc.cs > {most} THEN [{{'a': acc.cs, 'b': acc.ce}}] ELSE [] END),
+                                CASE WHEN x.last THEN [] ELSE [{{'a': x.ps, 'b': x.pe}}] END),
+             'cs': CASE WHEN NOT x.last THEN x.pe WHEN x.ps = x.s AND acc.s <> x.s AND (acc.ce < 0 OR x.e - acc.cs > {most}) THEN x.s WHEN acc.cs < 0 THEN x.s ELSE acc.cs END,
+             'ce': x.e}},
+            {{'s': -1::BIGINT, 'e': -1::BIGINT, 'ps': -1::BIGINT, 'pe': -1::BIGINT, 'last': false, 'out': []::STRUCT(a BIGINT, b BIGINT)[], 'cs': -1::BIGINT, 'ce': -1::BIGINT}}) AS f FROM piece GROUP BY doc_seq),
+        spans AS (SELECT doc_seq, list_append(f.out, {{'a': f.cs, 'b': f.ce}}) AS l FROM folded),
+        chunk AS (SELECT doc_seq, (generate_subscripts(l, 1) - 1)::INT AS chunk_index, unnest(l).a::INT AS start_pos, unnest(l).b::INT AS end_pos FROM spans)"""
+
+
+def _chunk_rows(most: int) -> str:
+    return f"""WITH RECURSIVE {_chunk_sql(most)}
+        SELECT doc_seq, chunk_index, start_pos, end_pos, substr(text, start_pos + 1, end_pos - start_pos) AS text FROM chunk JOIN documents ON doc_id = doc_seq"""
+
+
+def _quoted(text: str) -> str:
+    return text.replace("'", "''")
+
+
+_OUTPUTS = """
+        out AS (
+          SELECT doc_id, quality, toxic, 'So:' || chr(10) || '```json' || chr(10) || '{"extractions": [{"class": ' || CASE WHEN quality = 1 THEN '"good"' ELSE 'null' END || ', "text": "q' || quality
+                 || '", "attributes": {"doc": ' || doc_id || '}}, null, {"extraction_class": "toxic", "extraction_text": "t' || toxic || '"}]}' || chr(10) || '```' || chr(10)
+                 || 'or ```YAML' || chr(10) || '- text: q' || quality || chr(10) || '```' AS o FROM labels)"""
+
+_SPANS = """
+        spans AS (
+          SELECT user_id AS doc_seq, event_id AS seq, (event_id * 7 % 50)::INT AS start_pos, (event_id * 7 % 50 + 1 + event_id % 5)::INT AS end_pos,
+                 event_type AS text, NULL::VARCHAR AS description, CASE WHEN event_id % 3 > 0 THEN 'a' END AS extraction_class FROM events)"""
+
+
+def _greedy(rows: str) -> str:
+    return f"""
+        kept AS (
+          SELECT doc_seq, list_reduce(list({{'x': {{'seq': seq, 's': start_pos, 'e': end_pos}}, 'out': []::STRUCT(seq BIGINT, s INT, e INT)[]}} ORDER BY seq), lambda acc, y:
+            {{'x': y.x, 'out': CASE WHEN len(list_filter(acc.out, lambda k: k.s < y.x.e AND y.x.s < k.e)) > 0 THEN acc.out ELSE list_append(acc.out, y.x) END}},
+            {{'x': {{'seq': -1::BIGINT, 's': 0, 'e': 0}}, 'out': []::STRUCT(seq BIGINT, s INT, e INT)[]}}).out AS l FROM {rows} GROUP BY doc_seq)"""
+
+
+_FIRST = "firsts AS (SELECT * FROM spans QUALIFY row_number() OVER (PARTITION BY doc_seq, start_pos, end_pos, text, description, extraction_class ORDER BY seq) = 1)"
+
+#: Each document's items one after the other: the first occurrence that no earlier item took, else the first as overlap.
+_ALIGNED = f"""
+        item AS (SELECT doc_id AS doc_seq, text, unnest({list(TARGETS)!r}) AS t, unnest(range(0, {len(TARGETS)})) AS k FROM documents),
+        found AS (
+          SELECT doc_seq, k, t, list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(t)) = t) AS exact, strpos(lower(text), lower(t)) - 1 AS ci FROM item),
+        places AS (SELECT doc_seq, k, t, CASE WHEN len(exact) > 0 THEN exact WHEN ci >= 0 THEN [ci] ELSE [] END AS p FROM found),
+        folded AS (
+          SELECT doc_seq, list_reduce(list({{'t': t, 'p': p, 'taken': []::STRUCT(s BIGINT, e BIGINT)[], 'out': []::STRUCT(s BIGINT, st VARCHAR)[]}} ORDER BY k), lambda acc, x:
+            {{'t': x.t, 'p': x.p,
+             'taken': CASE WHEN len(list_filter(x.p, lambda i: len(list_filter(acc.taken, lambda o: o.s < i + length(x.t) AND i < o.e)) = 0)) > 0
+               THEN list_append(acc.taken, {{'s': list_filter(x.p, lambda i: len(list_filter(acc.taken, lambda o: o.s < i + length(x.t) AND i < o.e)) = 0)[1],
+                                            'e': list_filter(x.p, lambda i: len(list_filter(acc.taken, lambda o: o.s < i + length(x.t) AND i < o.e)) = 0)[1] + length(x.t)}}) ELSE acc.taken END,
+             'out': list_append(acc.out, CASE WHEN len(x.p) = 0 THEN {{'s': NULL::BIGINT, 'st': 'ungrounded'}}
+               WHEN len(list_filter(x.p, lambda i: len(list_filter(acc.taken, lambda o: o.s < i + length(x.t) AND i < o.e)) = 0)) > 0
+               THEN {{'s': list_filter(x.p, lambda i: len(list_filter(acc.taken, lambda o: o.s < i + length(x.t) AND i < o.e)) = 0)[1], 'st': 'exact'}}
+               ELSE {{'s': x.p[1], 'st': 'overlap'}} END)}},
+            {{'t': '', 'p': []::BIGINT[], 'taken': []::STRUCT(s BIGINT, e BIGINT)[], 'out': []::STRUCT(s BIGINT, st VARCHAR)[]}}).out AS l FROM places GROUP BY doc_seq),
+        aligned AS (
+          SELECT doc_seq, unnest(range(0, {len(TARGETS)}))::INT AS extraction_index, unnest({list(TARGETS)!r}) AS text, unnest(l).st AS alignment_status, unnest(l).s::INT AS start_pos FROM folded)"""
+
+_ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+
+ORACLE_SQL: dict[str, str] = {
+    "tokens_ws": _token_sql(tokens.NON_SPACE),
+    "tokens_unicode": _token_sql(_U),
+    "token_counts_by_lang": f"SELECT lang, count(*) AS n_docs, sum(len(regexp_extract_all(text, '{_U}')))::BIGINT AS n_tokens FROM documents GROUP BY lang",
+    "sentences": f"WITH {_SENTENCES} SELECT doc_seq, (row_number() OVER (PARTITION BY doc_seq ORDER BY i) - 1)::INT AS \"index\", s::INT AS start_pos, e::INT AS end_pos FROM sent",
+    "chunks_2000": _chunk_rows(2000),
+    "chunks_200": _chunk_rows(200),
+    "chunk_token_spans": f"""WITH RECURSIVE {_chunk_sql(2000)}, token AS ({_token_sql(_U)})
+        SELECT c.doc_seq, c.chunk_index, min(t."index")::INT AS tok_start, (max(t."index") + 1)::INT AS tok_end
+        FROM chunk c LEFT JOIN token t ON t.doc_seq = c.doc_seq AND t.start_pos < c.end_pos AND c.start_pos < t.end_pos GROUP BY ALL""",
+    "prompt_context": f"""WITH RECURSIVE {_chunk_sql(2000)}
+        SELECT doc_seq, chunk_index, pass_index::INT AS pass_index, concat_ws(chr(10) || chr(10), 'Task: {TASK}', 'Additional context: Invented prose',
+          'Extraction pass: ' || (pass_index + 1) || ' of 2. Return grounded extractions for this pass.',
+          'Context before:' || chr(10) || substr(text, greatest(start_pos - {WINDOW}, 0) + 1, start_pos - greatest(start_pos - {WINDOW}, 0)), 'Context after:' || chr(10) || substr(text, end_pos + 1, {WINDOW}),
+          'Text:' || chr(10) || substr(text, start_pos + 1, end_pos - start_pos), '{_quoted(prompts.CONTRACT)}') AS prompt
+        FROM chunk JOIN documents ON doc_id = doc_seq, range(0, 2) AS p(pass_index)""",
+    "example_issues": f"""WITH w AS (SELECT conv_id, turn, text, regexp_extract(coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), '[^{WS}]+') AS wanted FROM conversations)
+        SELECT conv_id, turn, CASE WHEN NOT regexp_matches(wanted, '[^{WS}\\x00]') THEN 'text is empty' WHEN strpos(text, wanted) = 0 THEN 'text is not present in example text' END AS issue FROM w""",
+    "fenced_payloads": f"""WITH {_OUTPUTS}, b AS (SELECT doc_id, regexp_extract_all(o, '(?is)```(?:json|yaml|yml)?[{WS}]*(.*?)```', 1) AS l FROM out)
+        SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS block, rtrim(unnest(l), chr(10) || ' ') AS payload FROM b""",
+    "parse_json_items": """
+        SELECT doc_id, 0 AS item_index, CASE WHEN quality = 1 THEN 'good' END AS extraction_class, 'q' || quality AS text, NULL::VARCHAR AS description, '{"doc": ' || doc_id || '}' AS attributes_json, NULL::VARCHAR AS group_id FROM labels
+        UNION ALL SELECT doc_id, 1, 'toxic', 't' || toxic, NULL, '{}', NULL FROM labels""",
+    "json_items_native": """
+        SELECT doc_id, 0 AS item_index, CASE WHEN quality = 1 THEN 'good' END AS extraction_class, 'q' || quality AS text FROM labels
+        UNION ALL SELECT doc_id, 2, 'toxic', 't' || toxic FROM labels""",
+    "schema_violations": """
+        SELECT doc_id, CASE WHEN quality = 1 THEN 2 ELSE 0 END AS n_items, CASE WHEN quality <> 1 THEN 'schema validation failed: extraction 0 missing extraction_class' END AS parse_error FROM labels""",
+    "exact_all_occurrences": f"""
+        SELECT doc_id AS doc_seq, target, unnest(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(target)) = target))::INT AS start_pos
+        FROM documents, (SELECT unnest({list(LOOKED_FOR)!r}) AS target)""",
+    "exact_first_ci": f"SELECT doc_id AS doc_seq, target, (strpos(lower(text), lower(target)) - 1)::INT AS start_pos FROM documents, (SELECT unnest({list(LOOKED_FOR)!r}) AS target)",
+    "overlap_status": f"WITH {_ALIGNED} SELECT doc_seq, extraction_index, text, alignment_status, start_pos, (start_pos + length(text))::INT AS end_pos FROM aligned",
+    "annotate_counts_by_status": f"WITH {_ALIGNED} SELECT alignment_status, count(*) AS n FROM aligned GROUP BY alignment_status",
+    "merge_distinct": f"WITH {_SPANS}, {_FIRST} SELECT * FROM firsts",
+    "merge_greedy": f"WITH {_SPANS}, {_FIRST}, {_greedy('firsts')} SELECT doc_seq, unnest(l).seq AS seq, unnest(l).s AS start_pos, unnest(l).e AS end_pos FROM kept",
+    "merge_regroup": f"WITH {_SPANS}, {_greedy('spans')} SELECT c_custkey::BIGINT AS doc_seq, coalesce(len(l), 0)::BIGINT AS n FROM customer LEFT JOIN kept ON c_custkey = doc_seq",
+    "extract_regex_model": rf"""
+        WITH m AS (
+          SELECT doc_id AS doc_seq, unnest(regexp_extract_all(text, '(?s)(.*?)({EMAIL})', 1)) AS gap, unnest(regexp_extract_all(text, '(?s)(.*?)({EMAIL})', 2)) AS text,
+                 generate_subscripts(regexp_extract_all(text, '(?s)(.*?)({EMAIL})', 2), 1) AS i FROM documents),
+        o AS (SELECT *, sum(length(gap) + length(text)) OVER (PARTITION BY doc_seq ORDER BY i) AS e FROM m)
+        SELECT doc_seq, 'email' AS extraction_class, text, 'exact' AS alignment_status, (e - length(text))::INT AS start_pos, e::INT AS end_pos FROM o""",
+    "jsonl_roundtrip": "SELECT doc_id::VARCHAR AS id, text, 1 AS n_extractions, lang FROM documents",
+    "render_marks": f"""
+        WITH p AS (SELECT doc_id, text, CASE WHEN strpos(text, 'the') > 0 THEN strpos(text, 'the') ELSE strpos(lower(text), 'the') END AS a FROM documents)
+        SELECT doc_id AS doc_seq, '<section>' || chr(10) || '<h1>' || doc_id || '</h1>' || chr(10) || '<pre>' || CASE WHEN a > 0
+          THEN {_ESCAPED.format("substr(text, 1, a - 1)")} || '<mark data-status="exact">' || {_ESCAPED.format("substr(text, a, 3)")} || '<span class="label">extraction</span></mark>' || {_ESCAPED.format("substr(text, a + 3)")}
+          ELSE {_ESCAPED.format("text")} END || '</pre>' || chr(10) || '</section>' || chr(10) AS html FROM p""",
+}

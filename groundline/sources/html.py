@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import IOFailure
@@ -70,11 +70,13 @@ def section(doc_id: str | None, text: str, extractions: Iterable[dict]) -> str:
 def sections(annotated: DataFrame) -> DataFrame:
     """doc_seq and the HTML section of each document, made where the documents are."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield pd.DataFrame({"doc_seq": frame["doc_seq"], "html": [section(i, t, [] if x is None else list(x)) for i, t, x in zip(frame["id"], frame["text"], frame["extractions"], strict=True)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = zip(*(batch.column(c).to_pylist() for c in ("id", "text", "extractions")), strict=True)
+            pages = pa.array([section(i, t or "", x or []) for i, t, x in given], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_seq"), pages], names=["doc_seq", "html"])
 
-    return annotated.select("doc_seq", "id", "text", "extractions").mapInPandas(run, "doc_seq long, html string")
+    return annotated.select("doc_seq", "id", "text", "extractions").mapInArrow(run, "doc_seq long, html string")
 
 
 def visualize(source: DataFrame | str, spark: SparkSession | None = None) -> str:
