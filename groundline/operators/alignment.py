@@ -8,6 +8,7 @@ need a shuffle only to bring documents and items together.
 from __future__ import annotations
 
 import math
+import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..errors import AlignmentError
 from ..functions.similarity import Scorer
-from ..functions.textops import fold, for_match, strip
+from ..functions.textops import collapsed, fold, for_match, strip
 from ..schemas import DOCUMENTS, EXTRACTION
 from .tokens import UNICODE_TOKENS, Tokenizer, covering
 
@@ -26,6 +27,8 @@ THRESHOLD, MOST_STARTS = 0.78, 4000
 SHORTEST, LONGEST = 0.65, 1.35
 
 Span = tuple[int, int]
+#: What collapsing drops or strips.
+_SPACES = frozenset(" \t\n\x0b\x0c\r\0")
 
 
 class Taken:
@@ -53,6 +56,15 @@ class Aligner:
         self.tokens = tokenizer.spans(text)
         self.starts = [s for s, _ in self.tokens]
         self._folded: dict[Span, str] = {}
+        self._plain: str | None | bool = False
+
+    @property
+    def plain(self) -> str | None:
+        """The whole text in lower case, if windows of it are what matching compares but for white space (parts of composed text are composed)."""
+        if self._plain is False:
+            folded = fold(self.text)
+            self._plain = folded if len(folded) == len(self.text) and unicodedata.is_normalized("NFC", self.text) and unicodedata.is_normalized("NFC", folded) else None
+        return self._plain
 
     def align(self, items: list[dict], document_id: str | None = None, preferred: Span | None = None) -> list[dict]:
         """Extractions of the items of one answer, in their order."""
@@ -105,7 +117,7 @@ class Aligner:
     def _fuzzy(self, target: str, ranges: list[Span]) -> Iterator[Span]:
         """Windows at token starts that reach the threshold, the best first."""
         goal = for_match(target)
-        if not goal:
+        if not goal or self.threshold > 1:
             return
         scorer = Scorer(goal, self.threshold)
         shortest = max(1, math.floor(len(target) * SHORTEST))
@@ -113,11 +125,32 @@ class Aligner:
         best: dict[Span, float] = {}
         for lo, hi in ranges:
             for start in self._window_starts(lo, hi):
-                for end in range(start + shortest, min(start + longest, hi) + 1):
-                    if (start, end) not in best and (score := scorer.score(for_match(self.text[start:end]))) is not None:
+                last = min(start + longest, hi)
+                for end, window in self._windows(scorer, start, shortest, last):
+                    if (start, end) not in best and (score := scorer.score(window)) is not None:
                         best[start, end] = score
         yield from (span for span, _ in sorted(best.items(), key=lambda x: (-x[1], x[0])))
 
+    def _windows(self, scorer: Scorer, start: int, shortest: int, last: int) -> Iterator[tuple[int, str]]:
+        """Normalised windows from ``start``, without those that share too few characters with the target."""
+        text = self.plain
+        if text is None:
+            for end in range(start + shortest, last + 1):
+                yield end, for_match(self.text[start:end])
+            return
+        rest = dict(scorer.counts)
+        # white space is counted in favour of a window: it may be there or not once runs are collapsed
+        shared, solid, total = rest.get(" ", 0), 0, len(scorer.target)
+        for end in range(start + 1, last + 1):
+            c = text[end - 1]
+            if c not in _SPACES:
+                solid += 1
+                if rest.get(c, 0) > 0:
+                    rest[c] -= 1
+                    shared += 1
+            if end - start >= shortest and 2.0 * shared >= scorer.threshold * (total + solid) - 1e-9:
+                yield end, collapsed(text[start:end])
+
     def _window_starts(self, lo: int, hi: int) -> list[int]:
         found = self.starts[bisect_left(self.starts, lo) : bisect_left(self.starts, hi)][:MOST_STARTS]
         if found:
