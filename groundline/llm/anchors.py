@@ -1,0 +1,97 @@
+"""Content-defined anchors: runs of ``RUN`` words such that any ``REPEAT`` shared words contain a shared one.
+
+The anchors of a text are its word runs with the smallest hash among the
+REPEAT - RUN + 1 runs of every stretch of REPEAT words. The choice depends only on the
+words, so equal stretches have equal anchors wherever they stand, whatever is around
+them. Hashes are polynomial over word hashes, for all texts of a batch at once.
+"""
+
+from __future__ import annotations
+
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
+import xxhash
+
+RUN, REPEAT = 16, 51
+_rng = np.random.default_rng(77001)
+_BASES = [np.uint64(int(x) | 1) for x in _rng.integers(1 << 62, 1 << 63, 2)]
+_INVERSE = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES]
+_SALT = np.uint64(int(_rng.integers(1, 1 << 62)))
+_IS_WS = np.zeros(256, bool)
+_IS_WS[[32, *range(9, 14)]] = True
+
+
+class Anchors(NamedTuple):
+    doc: np.ndarray  # which text
+    word: np.ndarray  # number of the first word in its text
+    a: np.ndarray  # 128 bits of the run's words
+    b: np.ndarray
+    ahead: np.ndarray  # hash of the words from here to the end of the next anchor; 0 without one
+    start: np.ndarray  # offsets in code points: of the run, and of the end of the next anchor
+    end: np.ndarray
+    next_end: np.ndarray
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(32))
+
+
+def _slid(x: np.ndarray, n: int, pick) -> np.ndarray:
+    """pick over every n neighbours."""
+    k = 1
+    while k * 2 <= n:
+        x = pick(x[:-k], x[k:])
+        k *= 2
+    return pick(x[: len(x) - (n - k)], x[n - k :]) if n > k else x
+
+
+class _Sums:
+    """Hashes of stretches of words, from prefix sums."""
+
+    def __init__(self, h: np.ndarray, k: int):
+        self.ahead = np.cumprod(np.full(len(h) + 1, _BASES[k], np.uint64))
+        self.total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * np.cumprod(np.full(len(h), _INVERSE[k], np.uint64)), out=self.total[1:])
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed((self.total[end] - self.total[start]) * self.ahead[start] + (end - start).astype(np.uint64) * _SALT)
+
+
+def anchors(texts: list[bytes]) -> Anchors:
+    data = np.frombuffer(b"\n".join(texts), np.uint8)
+    none = np.zeros(0, np.int64)
+    words = data.tobytes().lower().split()
+    if len(words) < REPEAT:
+        return Anchors(none, none, none, none, none, none, none, none)
+    solid = ~_IS_WS[data]
+    edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    begins = np.cumsum([0] + [len(x) + 1 for x in texts[:-1]])
+    doc = np.searchsorted(begins, first, "right") - 1
+    flat = np.empty(len(words), object)
+    flat[:] = words
+    code, distinct = pd.factorize(flat)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))[code]
+    one, two = _Sums(h, 0), _Sums(h, 1)
+    at = np.arange(len(words) - RUN + 1)
+    rank = one.of(at, at + RUN)
+    within = REPEAT - RUN + 1
+    least = _slid(rank, within, np.minimum)
+    least[doc[: len(least)] != doc[REPEAT - 1 :]] = 0  # a stretch of one text only
+    # a run is an anchor if it is the least of a stretch that it is in
+    most = _slid(np.concatenate([np.zeros(within - 1, np.uint64), least, np.zeros(within - 1, np.uint64)]), within, np.maximum)
+    at = np.flatnonzero(most == rank)
+    follow = np.append(at[1:], 0)
+    has = np.append(doc[at[1:]] == doc[at[:-1]], False) if len(at) else np.zeros(0, bool)
+    stop = np.where(has, follow + RUN, at + RUN)
+    ahead = np.where(has, one.of(at, stop), np.uint64(0)).view(np.int64)
+    point = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with a byte
+    base = np.concatenate([[0], point])[begins]
+    place = lambda byte, d: np.concatenate([[0], point])[byte] - base[d]
+    d = doc[at]
+    opens = np.searchsorted(doc, np.arange(len(texts)))
+    return Anchors(d, at - opens[d], rank[at].view(np.int64), two.of(at, at + RUN).view(np.int64), ahead, place(first[at], d), place(last[at + RUN - 1], d), place(last[stop - 1], d))

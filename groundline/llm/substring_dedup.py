@@ -1,22 +1,28 @@
-"""Substring dedup by line and sentence hashing (operator 10).
+"""Substring dedup by hashing of lines, sentences and content-defined passages (operator 10).
 
-A text is split into units: lines (so paragraphs too), and within lines sentences, which
-end at full stops, question or exclamation marks and the white space after them. A unit
-is normalised (A-Z lowered, runs of white space one space, trimmed) and hashed to 128
-bits; the digests are grouped over all documents. The occurrence of the earliest rank
-(doc_id, then position) stays, the others go. The original offsets of removed units are
-kept, those of adjacent units joined to spans.
+Units of a text are its lines (so paragraphs too), cut at sentence ends: full stops,
+question or exclamation marks and the white space after them. A unit is normalised (A-Z
+lowered, runs of white space one space, trimmed) and hashed to 128 bits; digests are
+grouped over all documents. The occurrence of the earliest rank (doc_id, then position)
+stays, the others go, and their original offsets are kept.
 
-Only units of ``min_words`` words or more take part: shorter ones recur by chance. A
-passage of several sentences goes sentence by sentence, wherever in a line it stands.
+Lines and sentences alone miss a passage that starts or ends within a sentence, so there
+are units of a second kind, ``anchors``: runs of 16 words at places that the words
+themselves decide on, at least one in any 51 words that two documents share. An anchor
+that an earlier document has goes, and so does the stretch up to the end of the next one
+if that is equal as well; so a passage goes from its first anchor to its last.
+
+Only sentences of ``min_words`` words or more take part: shorter ones recur by chance.
 
 Skew: digests are grouped with partial aggregation, so a digest that a third of all rows
 have reaches the last stage as one row per task; only digests that occur twice are joined
-back, by a join whose large side adaptive execution can split.
+back, by a join whose large side adaptive execution can split. Units are described by
+their numbers in the text; offsets are found again where the text is.
 
 Edge cases: null or empty text has no units; a null doc_id ranks last; rows equal in
 doc_id and text share their result (the first of them keeps its units, so the repeats do
-too); texts of any length are split in one linear pass; other columns are ignored; an
+too); a text that repeats its own words keeps anchors, and loses sentences after the
+first; texts of any length are split in linear passes; other columns are ignored; an
 empty table gives an empty result.
 """
 
@@ -26,23 +32,28 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import anchors
 from .common import cut
+from .quality_classifier import grouped
 from .units import named
 
 MIN_WORDS = 6
 _END = re.compile(r"\n+|[.!?]+[\x20\x09-\x0D]+")
-UNITS = "a long, b long, id long, th long, pos int, start int, end int"
+#: Numbers of anchors, after those of sentences.
+ANCHOR = 1 << 30
+UNITS = "a long, b long, id long, th long, pos int, ahead long"
 RESULT = "doc_id long, n_units long, n_removed long, n_removed_chars long, spans string, kept_sha256 string"
 KEPT = "doc_id long, spans array<struct<start:int,end:int>>, text string"
 
 
 def split_units(text: str) -> list[tuple[int, int]]:
-    """Offsets of units that tile the text."""
+    """Offsets of sentences that tile the text."""
     out, at = [], 0
     for m in _END.finditer(text):
         out.append((at, m.end()))
@@ -63,40 +74,65 @@ def _signed(x: int) -> int:
 
 
 def _units(min_words: int):
-    kinds = [pa.int64()] * 4 + [pa.int32()] * 3
-
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [[] for _ in kinds]
-            for text, i, th in zip(batch.column("text").to_pylist(), batch.column("id").to_pylist(), batch.column("th").to_pylist(), strict=True):
+            texts, ids, ths = (batch.column(c).to_pylist() for c in ("text", "id", "th"))
+            cols = [[] for _ in range(5)]
+            for text, i, th in zip(texts, ids, ths, strict=True):
                 for pos, (s, e) in enumerate(split_units(text)):
                     n, key = unit_key(text[s:e])
                     if n >= min_words:
                         d = xxhash.xxh3_128_intdigest(key)
-                        for c, v in zip(cols, (_signed(d >> 64), _signed(d & ((1 << 64) - 1)), i, th, pos, s, e), strict=True):
+                        for c, v in zip(cols, (_signed(d >> 64), _signed(d & ((1 << 64) - 1)), i, th, pos), strict=True):
                             c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "id", "th", "pos", "start", "end"])
+            yield _unit_batch(*(np.array(c, np.int64) for c in cols), np.zeros(len(cols[0]), np.int64))
+            at = 0
+            for part in grouped([t.encode("utf-8", "surrogatepass") for t in texts]):
+                x = anchors(part)
+                yield _unit_batch(x.a, x.b, np.array(ids[at : at + len(part)], np.int64)[x.doc], np.array(ths[at : at + len(part)], np.int64)[x.doc], x.word + ANCHOR, x.ahead)
+                at += len(part)
 
     return units
 
 
+def _unit_batch(a, b, i, th, pos, ahead) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(i), pa.array(th), pa.array(pos.astype(np.int32)), pa.array(ahead)], names=["a", "b", "id", "th", "pos", "ahead"])
+
+
 def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, th, removed: the units that go, as ascending (pos, start, end) in code points; only for documents that lose any."""
+    """id, th, removed: the units that go, as ascending (pos, further); only for documents that lose any.
+
+    ``pos`` is the number of a sentence, or ANCHOR and the number of an anchor's first word; ``further``: up to the end of the next anchor.
+    """
     units = cut(named(docs).select("id", "th", "text").mapInArrow(_units(min_words), UNITS))
-    first = units.groupBy("a", "b").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.count("*").alias("n"))
+    first = units.groupBy("a", "b").agg(F.min(F.struct("id", "th", "pos", "ahead")).alias("first"), F.count("*").alias("n"))
     first = cut(first.where("n > 1").select("a", "b", "first"))
-    lost = units.join(first, ["a", "b"]).where(F.struct("id", "th", "pos") != F.col("first"))
-    return lost.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "start", "end"))).alias("removed"))
-
-
-def _joined(removed: list[dict] | None) -> list[tuple[int, int]]:
-    spans: list[tuple[int, int]] = []
-    for u in removed or ():
-        if spans and spans[-1][1] == u["start"]:
-            spans[-1] = (spans[-1][0], u["end"])
+    other = (F.col("id") != F.col("first.id")) | (F.col("th") != F.col("first.th"))
+    lost = units.join(first, ["a", "b"]).where(other | ((F.col("pos") < ANCHOR) & (F.col("pos") != F.col("first.pos"))))
+    further = (F.col("ahead") != 0) & (F.col("ahead") == F.col("first.ahead"))
+    return lost.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", further.alias("further")))).alias("removed"))
+
+
+def _spans(text: str, removed: list[dict] | None) -> list[tuple[int, int]]:
+    """Removed units as ascending, disjoint spans."""
+    if not removed:
+        return []
+    sentences = split_units(text)
+    spans = [sentences[u["pos"]] for u in removed if u["pos"] < ANCHOR]
+    if removed[-1]["pos"] >= ANCHOR:
+        x = anchors([text.encode("utf-8", "surrogatepass")])
+        place = dict(zip(x.word.tolist(), zip(x.start.tolist(), x.end.tolist(), x.next_end.tolist(), strict=True), strict=True))
+        for u in removed:
+            if u["pos"] >= ANCHOR:
+                start, end, next_end = place[u["pos"] - ANCHOR]
+                spans.append((start, next_end if u["further"] else end))
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
         else:
-            spans.append((u["start"], u["end"]))
-    return spans
+            out.append((s, e))
+    return out
 
 
 def _without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -114,7 +150,8 @@ def _applied(docs: DataFrame, min_words: int, make, schema: str) -> DataFrame:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, spans = batch.column("text").to_pylist(), [_joined(x) for x in batch.column("removed").to_pylist()]
+        texts = batch.column("text").to_pylist()
+        spans = [_spans(t, x) for t, x in zip(texts, batch.column("removed").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([_without(t, x) for t, x in zip(texts, spans, strict=True)], pa.string())],
             names=["doc_id", "spans", "text"],
@@ -124,7 +161,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, removed = batch.column("text").to_pylist(), batch.column("removed").to_pylist()
-        spans = [_joined(x) for x in removed]
+        spans = [_spans(t, x) for t, x in zip(texts, removed, strict=True)]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
@@ -144,4 +181,5 @@ def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def dedup_digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, numbers of sentences and of removed units, removed code points, spans and the digest of what stays."""
     return _applied(docs, min_words, _digests, RESULT)

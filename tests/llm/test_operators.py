@@ -495,3 +495,40 @@ def test_mask(docs, spark):
     assert {r.text for r in pii.mask(df).collect()} == {"write to <email> or <phone> now", ""}
 
 
+
+
+def test_any_long_passage_is_found_wherever_it_stands(spark):
+    rnd = random.Random(9)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghijk") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    passages = [words(55) for _ in range(30)]
+    rows, long_ones = [], {}
+    for k, p in enumerate(passages):
+        for c in range(3):
+            i = 10 * k + c
+            rows.append((i, f"{words(rnd.randint(0, 90))} {p.upper() if c == 1 else p}{' ' if c else chr(10)}{words(rnd.randint(0, 90))}"))
+            long_ones[i] = p
+    clean = [(1000 + k, words(120)) for k in range(60)]
+    got = {r.doc_id: r for r in substring_dedup.dedup_digests(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    for i, p in long_ones.items():
+        assert (got[i].n_removed > 0) == (i % 10 > 0)
+        assert got[i].n_removed_chars <= len(p) + 2
+    assert sum(got[i].n_removed_chars for i in long_ones) > 0.5 * sum(len(p) for i, p in long_ones.items() if i % 10)
+    assert all(got[i].n_removed == 0 for i, _ in clean)
+
+
+def test_anchors_are_content_defined():
+    from groundline.llm import anchors
+
+    rnd = random.Random(11)
+    words = lambda n: ["".join(rnd.choice("abcdefghijk") for _ in range(rnd.randint(1, 8))) for _ in range(n)]
+    for _ in range(30):
+        shared = words(anchors.REPEAT)
+        texts = [(" ".join(words(rnd.randint(0, 80)) + shared + ["é"] + words(rnd.randint(0, 80)))).encode() for _ in range(2)] + [b"", b"few words"]
+        x = anchors.anchors(texts)
+        runs = [set(zip(x.a[x.doc == k].tolist(), x.b[x.doc == k].tolist(), strict=True)) for k in range(4)]
+        assert runs[0] & runs[1] and not runs[2] and not runs[3]
+        for d, w, s, e in zip(x.doc, x.word, x.start, x.end, strict=True):
+            t = texts[d].decode()
+            assert t[s:e].split() == t.split()[w : w + anchors.RUN]
+        alone = anchors.anchors(texts[:1])
+        assert np.array_equal(alone.a, x.a[x.doc == 0])
