@@ -15,6 +15,8 @@ import pandas as pd
 import xxhash
 
 RUN, REPEAT = 16, 51
+#: Words beside a run whose hashes go with it.
+NEAR, FAR = 6, 16
 _rng = np.random.default_rng(77001)
 _BASES = [np.uint64(int(x) | 1) for x in _rng.integers(1 << 62, 1 << 63, 2)]
 _INVERSE = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES]
@@ -29,9 +31,11 @@ class Anchors(NamedTuple):
     a: np.ndarray  # 128 bits of the run's words
     b: np.ndarray
     ahead: np.ndarray  # hash of the words from here to the end of the next anchor; 0 without one
-    start: np.ndarray  # offsets in code points: of the run, and of the end of the next anchor
-    end: np.ndarray
-    next_end: np.ndarray
+    left: np.ndarray  # two halves: hashes of the NEAR and of the FAR words before; 0 where there are fewer
+    right: np.ndarray  # and after
+    next_word: np.ndarray  # number of the last word of the next anchor; of this one without a next
+    starts: np.ndarray  # offsets of all words of all texts, in code points of their text
+    ends: np.ndarray
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,7 +70,7 @@ def anchors(texts: list[bytes]) -> Anchors:
     none = np.zeros(0, np.int64)
     words = data.tobytes().lower().split()
     if len(words) < REPEAT:
-        return Anchors(none, none, none, none, none, none, none, none)
+        return Anchors(*[none] * 10)
     solid = ~_IS_WS[data]
     edge = np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -89,9 +93,17 @@ def anchors(texts: list[bytes]) -> Anchors:
     has = np.append(doc[at[1:]] == doc[at[:-1]], False) if len(at) else np.zeros(0, bool)
     stop = np.where(has, follow + RUN, at + RUN)
     ahead = np.where(has, one.of(at, stop), np.uint64(0)).view(np.int64)
-    point = np.cumsum((data & 0xC0) != 0x80)  # code points up to and with a byte
-    base = np.concatenate([[0], point])[begins]
-    place = lambda byte, d: np.concatenate([[0], point])[byte] - base[d]
+    point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before a byte
+    base = point[begins][doc]
+    opens = np.searchsorted(doc, np.arange(len(texts) + 1))
     d = doc[at]
-    opens = np.searchsorted(doc, np.arange(len(texts)))
-    return Anchors(d, at - opens[d], rank[at].view(np.int64), two.of(at, at + RUN).view(np.int64), ahead, place(first[at], d), place(last[at + RUN - 1], d), place(last[stop - 1], d))
+
+    def beside(near: tuple[np.ndarray, np.ndarray], far: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        halves = []
+        for s, e in (near, far):
+            inside = (s >= opens[d]) & (e <= opens[d + 1])
+            halves.append(np.where(inside, one.of(np.clip(s, 0, len(words)), np.clip(e, 0, len(words))), np.uint64(0)) >> np.uint64(32))
+        return (halves[0] << np.uint64(32) | halves[1]).view(np.int64)
+
+    left, right = beside((at - NEAR, at), (at - FAR, at)), beside((at + RUN, at + RUN + NEAR), (at + RUN, at + RUN + FAR))
+    return Anchors(d, at - opens[d], rank[at].view(np.int64), two.of(at, at + RUN).view(np.int64), ahead, left, right, stop - 1 - opens[d], point[first] - base, point[last] - base)

@@ -10,7 +10,8 @@ Lines and sentences alone miss a passage that starts or ends within a sentence,
 are units of a second kind, ``anchors``: runs of 16 words at places that the words
 themselves decide on, at least one in any 51 words that two documents share. An anchor
 that an earlier document has goes, and so does the stretch up to the end of the next one
-if that is equal as well; so a passage goes from its first anchor to its last.
+if that is equal as well; so a passage goes from its first anchor to its last. Hashes of the
+words beside an anchor extend both ends by up to 16 words more.
 
 Only sentences of ``min_words`` words or more take part: shorter ones recur by chance.
 
@@ -35,10 +36,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import anchors
+from .anchors import FAR, NEAR, RUN, anchors
 from .common import cut
 from .quality_classifier import grouped
 from .units import named
@@ -47,7 +48,7 @@ MIN_WORDS = 6
 _END = re.compile(r"\n+|[.!?]+[\x20\x09-\x0D]+")
 #: Numbers of anchors, after those of sentences.
 ANCHOR = 1 << 30
-UNITS = "a long, b long, id long, th long, pos int, ahead long"
+UNITS = "a long, b long, id long, th long, pos int, ahead long, left long, right long"
 RESULT = "doc_id long, n_units long, n_removed long, n_removed_chars long, spans string, kept_sha256 string"
 KEPT = "doc_id long, spans array<struct<start:int,end:int>>, text string"
 
@@ -85,32 +86,43 @@ def _units(min_words: int):
                         d = xxhash.xxh3_128_intdigest(key)
                         for c, v in zip(cols, (_signed(d >> 64), _signed(d & ((1 << 64) - 1)), i, th, pos), strict=True):
                             c.append(v)
-            yield _unit_batch(*(np.array(c, np.int64) for c in cols), np.zeros(len(cols[0]), np.int64))
+            yield _unit_batch(*(np.array(c, np.int64) for c in cols), *[np.zeros(len(cols[0]), np.int64)] * 3)
             at = 0
             for part in grouped([t.encode("utf-8", "surrogatepass") for t in texts]):
                 x = anchors(part)
-                yield _unit_batch(x.a, x.b, np.array(ids[at : at + len(part)], np.int64)[x.doc], np.array(ths[at : at + len(part)], np.int64)[x.doc], x.word + ANCHOR, x.ahead)
+                yield _unit_batch(x.a, x.b, np.array(ids[at : at + len(part)], np.int64)[x.doc], np.array(ths[at : at + len(part)], np.int64)[x.doc], x.word + ANCHOR, x.ahead, x.left, x.right)
                 at += len(part)
 
     return units
 
 
-def _unit_batch(a, b, i, th, pos, ahead) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(i), pa.array(th), pa.array(pos.astype(np.int32)), pa.array(ahead)], names=["a", "b", "id", "th", "pos", "ahead"])
+def _unit_batch(a, b, i, th, pos, *beside) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(i), pa.array(th), pa.array(pos.astype(np.int32)), *map(pa.array, beside)], names=["a", "b", "id", "th", "pos", "ahead", "left", "right"])
+
+
+def _shared(side: str) -> Column:
+    """How many words beside an anchor are those beside the first."""
+    own, other = F.col(side), F.col(f"first.{side}")
+    near, far = F.shiftrightunsigned(own, 32), own.bitwiseAND(F.lit((1 << 32) - 1))
+    same_near = (near != 0) & (near == F.shiftrightunsigned(other, 32))
+    same_far = (far != 0) & (far == other.bitwiseAND(F.lit((1 << 32) - 1)))
+    return F.when(same_far, FAR).when(same_near, NEAR).otherwise(0)
 
 
 def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, th, removed: the units that go, as ascending (pos, further); only for documents that lose any.
+    """id, th, removed: the units that go, as ascending (pos, further, left, right); only for documents that lose any.
 
-    ``pos`` is the number of a sentence, or ANCHOR and the number of an anchor's first word; ``further``: up to the end of the next anchor.
+    ``pos`` is the number of a sentence, or ANCHOR and the number of an anchor's first word; ``further``: up to the end
+    of the next anchor; ``left`` and ``right``: words beside it that go, too.
     """
     units = cut(named(docs).select("id", "th", "text").mapInArrow(_units(min_words), UNITS))
-    first = units.groupBy("a", "b").agg(F.min(F.struct("id", "th", "pos", "ahead")).alias("first"), F.count("*").alias("n"))
+    first = units.groupBy("a", "b").agg(F.min(F.struct("id", "th", "pos", "ahead", "left", "right")).alias("first"), F.count("*").alias("n"))
     first = cut(first.where("n > 1").select("a", "b", "first"))
     other = (F.col("id") != F.col("first.id")) | (F.col("th") != F.col("first.th"))
     lost = units.join(first, ["a", "b"]).where(other | ((F.col("pos") < ANCHOR) & (F.col("pos") != F.col("first.pos"))))
     further = (F.col("ahead") != 0) & (F.col("ahead") == F.col("first.ahead"))
-    return lost.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", further.alias("further")))).alias("removed"))
+    unit = F.struct("pos", further.alias("further"), _shared("left").alias("left"), _shared("right").alias("right"))
+    return lost.groupBy("id", "th").agg(F.array_sort(F.collect_set(unit)).alias("removed"))
 
 
 def _spans(text: str, removed: list[dict] | None) -> list[tuple[int, int]]:
@@ -121,11 +133,14 @@ def _spans(text: str, removed: list[dict] | None) -> list[tuple[int, int]]:
     spans = [sentences[u["pos"]] for u in removed if u["pos"] < ANCHOR]
     if removed[-1]["pos"] >= ANCHOR:
         x = anchors([text.encode("utf-8", "surrogatepass")])
-        place = dict(zip(x.word.tolist(), zip(x.start.tolist(), x.end.tolist(), x.next_end.tolist(), strict=True), strict=True))
+        following = dict(zip(x.word.tolist(), x.next_word.tolist(), strict=True))
         for u in removed:
             if u["pos"] >= ANCHOR:
-                start, end, next_end = place[u["pos"] - ANCHOR]
-                spans.append((start, next_end if u["further"] else end))
+                word = u["pos"] - ANCHOR
+                last = word + RUN - 1 + u["right"]
+                if u["further"]:
+                    last = max(last, following[word])
+                spans.append((int(x.starts[word - u["left"]]), int(x.ends[last])))
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
         if out and s <= out[-1][1]:

@@ -512,7 +512,7 @@ def test_any_long_passage_is_found_wherever_it_stands(spark):
     for i, p in long_ones.items():
         assert (got[i].n_removed > 0) == (i % 10 > 0)
         assert got[i].n_removed_chars <= len(p) + 2
-    assert sum(got[i].n_removed_chars for i in long_ones) > 0.5 * sum(len(p) for i, p in long_ones.items() if i % 10)
+    assert sum(got[i].n_removed_chars for i in long_ones) > 0.7 * sum(len(p) for i, p in long_ones.items() if i % 10)
     assert all(got[i].n_removed == 0 for i, _ in clean)
 
 
@@ -527,8 +527,9 @@ def test_anchors_are_content_defined():
         x = anchors.anchors(texts)
         runs = [set(zip(x.a[x.doc == k].tolist(), x.b[x.doc == k].tolist(), strict=True)) for k in range(4)]
         assert runs[0] & runs[1] and not runs[2] and not runs[3]
-        for d, w, s, e in zip(x.doc, x.word, x.start, x.end, strict=True):
+        for d, w, n in zip(x.doc, x.word, x.next_word, strict=True):
             t = texts[d].decode()
-            assert t[s:e].split() == t.split()[w : w + anchors.RUN]
+            opens = sum(len(y.split()) for y in texts[:d])
+            assert t[x.starts[opens + w] : x.ends[opens + n]].split() == t.split()[w : n + 1] and n >= w + anchors.RUN - 1
         alone = anchors.anchors(texts[:1])
         assert np.array_equal(alone.a, x.a[x.doc == 0])
