@@ -8,7 +8,9 @@ meet the operators' own ones.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +63,10 @@ def rank_of(doc_id: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Runs of other characters than white space, by built-in functions."""
     return F.regexp_count(text, F.lit(f"[^{WS}]+")).cast("long")
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, for kernels that hold Python values of a whole batch at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import prepared
+from .common import prepared, sliced
 
 KINDS = ("email", "ip", "card", "phone")
 TAGGED = (*KINDS, "secret")
@@ -360,14 +360,11 @@ RESULT = "doc_id long, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha25
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        step = 256
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
-            got = find(part.column("text").to_pylist())
-            cols = [part.column("doc_id"), *(pa.array([sum(s[2] == k for s in b) for b, _ in got], pa.int64()) for k in KINDS)]
-            cols += [pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b, _ in got]), pa.array([written(b + a) for b, a in got], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+    for batch in sliced(batches):
+        got = find(batch.column("text").to_pylist())
+        cols = [batch.column("doc_id"), *(pa.array([sum(s[2] == k for s in b) for b, _ in got], pa.int64()) for k in KINDS)]
+        cols += [pa.array([hashlib.sha256(written(b).encode()).hexdigest() for b, _ in got], pa.string()), pa.array([written(b + a) for b, a in got], pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
 
 def find_spans(docs: DataFrame) -> DataFrame:
@@ -376,7 +373,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
 
 def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts, out = batch.column("text").to_pylist(), []
         for text, (b, a) in zip(texts, find(texts), strict=True):
             done, pieces = 0, []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepared
+from .common import prepared, sliced
 from .labelled import held_out, sample
 
 BITS, MOST_ROWS, EPOCHS = 18, 4000, 3
@@ -124,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
 def _scored(shared):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             s = scores(model, batch.column("bytes").to_pylist())
             keep = [batch.column(k) for k in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(s, pa.float64())], names=[*batch.schema.names[:-1], "score"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepared
+from .common import prepared, sliced
 from .labelled import sample
 from .quality_classifier import grouped
 
@@ -199,7 +199,7 @@ RESULT = "doc_id long, " + "".join(f"{c} long, " for c in COUNTS) + "base_failed
 def _judged(shared, least: float):
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Trees(*shared.value)
-        for batch in batches:
+        for batch in sliced(batches, 4096):
             at = 0
             for texts in grouped(batch.column("bytes").to_pylist()):
                 counts, x = statistics(texts)
