@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import FAR, NEAR, RUN, anchors
-from .common import cut
+from .common import cut, sliced
 from .quality_classifier import grouped
 from .units import named
 
@@ -76,7 +76,7 @@ def _signed(x: int) -> int:
 
 def _units(min_words: int):
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             texts, ids, ths = (batch.column(c).to_pylist() for c in ("text", "id", "th"))
             cols = [[] for _ in range(5)]
             for text, i, th in zip(texts, ids, ths, strict=True):
@@ -164,7 +164,7 @@ def _applied(docs: DataFrame, min_words: int, make, schema: str) -> DataFrame:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts = batch.column("text").to_pylist()
         spans = [_spans(t, x) for t, x in zip(texts, batch.column("removed").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
@@ -174,7 +174,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         texts, removed = batch.column("text").to_pylist(), batch.column("removed").to_pylist()
         spans = [_spans(t, x) for t, x in zip(texts, removed, strict=True)]
         yield pa.RecordBatch.from_arrays(
