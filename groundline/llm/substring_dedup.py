@@ -125,22 +125,29 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return lost.groupBy("id", "th").agg(F.array_sort(F.collect_set(unit)).alias("removed"))
 
 
-def _spans(text: str, removed: list[dict] | None) -> list[tuple[int, int]]:
-    """Removed units as ascending, disjoint spans."""
-    if not removed:
-        return []
-    sentences = split_units(text)
-    spans = [sentences[u["pos"]] for u in removed if u["pos"] < ANCHOR]
-    if removed[-1]["pos"] >= ANCHOR:
-        x = anchors([text.encode("utf-8", "surrogatepass")])
-        following = dict(zip(x.word.tolist(), x.next_word.tolist(), strict=True))
-        for u in removed:
-            if u["pos"] >= ANCHOR:
-                word = u["pos"] - ANCHOR
-                last = word + RUN - 1 + u["right"]
-                if u["further"]:
-                    last = max(last, following[word])
-                spans.append((int(x.starts[word - u["left"]]), int(x.ends[last])))
+def _spans(texts: list[str], removed: list[list[dict] | None]) -> list[list[tuple[int, int]]]:
+    """Removed units of each text as ascending, disjoint spans; anchors are found again for many texts at once."""
+    out = [[] if not x else [sentences[u["pos"]] for u in x if u["pos"] < ANCHOR] for x, sentences in zip(removed, (split_units(t) if x else [] for t, x in zip(texts, removed, strict=True)), strict=True)]
+    having = [k for k, x in enumerate(removed) if x and x[-1]["pos"] >= ANCHOR]
+    at = 0
+    for part in grouped([texts[k].encode("utf-8", "surrogatepass") for k in having]):
+        x = anchors(part)
+        opens = np.cumsum([0] + [len(t.split()) for t in part])
+        following = {(d, w): n for d, w, n in zip(x.doc.tolist(), x.word.tolist(), x.next_word.tolist(), strict=True)}
+        for d in range(len(part)):
+            k = having[at + d]
+            for u in removed[k]:
+                if u["pos"] >= ANCHOR:
+                    word = u["pos"] - ANCHOR
+                    last = word + RUN - 1 + u["right"]
+                    if u["further"]:
+                        last = max(last, following[d, word])
+                    out[k].append((int(x.starts[opens[d] + word - u["left"]]), int(x.ends[opens[d] + last])))
+        at += len(part)
+    return [_merged(x) for x in out]
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for s, e in sorted(spans):
         if out and s <= out[-1][1]:
@@ -166,7 +173,7 @@ def _applied(docs: DataFrame, min_words: int, make, schema: str) -> DataFrame:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
         texts = batch.column("text").to_pylist()
-        spans = [_spans(t, x) for t, x in zip(texts, batch.column("removed").to_pylist(), strict=True)]
+        spans = _spans(texts, batch.column("removed").to_pylist())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array([_without(t, x) for t, x in zip(texts, spans, strict=True)], pa.string())],
             names=["doc_id", "spans", "text"],
@@ -176,7 +183,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches):
         texts, removed = batch.column("text").to_pylist(), batch.column("removed").to_pylist()
-        spans = [_spans(t, x) for t, x in zip(texts, removed, strict=True)]
+        spans = _spans(texts, removed)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"),
