@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, parts, prepared
 from .suffix_index import LogIndex
 
-WIDTH, GRAM = 50, 24
+WIDTH, GRAM = 50, 20
 #: Bytes of text that a chunk should have before chunks get more numerous than shuffle partitions.
 CHUNK_BYTES, MOST_CHUNKS = 4 << 20, 4
 _rng = np.random.default_rng(20240607)
@@ -78,7 +78,7 @@ class Chunk:
             return
         wide = np.concatenate([self.data, np.zeros(GRAM, np.uint8)])
         word = np.ndarray((n + GRAM - 8 + 1,), "<u8", wide.data, 0, (1,))
-        m = _mixed(word[:n] * _A + word[8 : n + 8] * _B + word[16 : n + 16] * _C)
+        m = _mixed(word[:n] * _A + word[8 : n + 8] * _B + word[GRAM - 8 : n + GRAM - 8] * _C)
         span, k = WIDTH - GRAM + 1, 1
         while k * 2 <= span:
             m = np.minimum(m[:-k], m[k:])
