@@ -1,11 +1,18 @@
-"""Tokens with code-point offsets: a native form for DataFrames, and the same rule for kernels."""
+"""Tokens with code-point offsets, in two forms with the same rows.
+
+``token_rows`` finds them where the documents are: an Arrow pass and no shuffle, which is
+what to use at scale. ``with_offsets`` needs built-in functions only, at the price of a
+shuffle of all tokens, since offsets are running sums over a document's tokens.
+"""
 
 from __future__ import annotations
 
-import re
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +78,33 @@ def with_offsets(docs: DataFrame, pattern: str = UNICODE, key: str = "doc_seq")
     return t.select(key, F.col("index").cast("int").alias("index"), F.col("t.token").alias("text"), (upto - token).cast("int").alias("start_pos"), upto.cast("int").alias("end_pos"))
 
 
+def span_rows(docs: DataFrame, find, key: str = "doc_seq", with_text: bool = True) -> DataFrame:
+    """key, index, [text,] start_pos, end_pos of the spans that ``find`` gives for a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = batch.column(1).to_pylist()
+                found = [find(t) if t else [] for t in texts]
+                n = np.fromiter(map(len, found), np.int64, len(found))
+                flat = np.array([x for f in found for x in f], np.int32).reshape(-1, 2)
+                first = np.repeat(np.cumsum(n) - n, n)
+                cols = [batch.column(0).take(pa.array(np.repeat(np.arange(len(found)), n))), pa.array((np.arange(len(flat)) - first).astype(np.int32))]
+                if with_text:
+                    cols.append(pa.array([t[s:e] for t, f in zip(texts, found, strict=True) for s, e in f], pa.string()))
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=names)
+
+    names = [key, "index", *["text"] * with_text, "start_pos", "end_pos"]
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, index int, {'text string, ' if with_text else ''}start_pos int, end_pos int")
+
+
+def token_rows(docs: DataFrame, tokenizer: Tokenizer = UNICODE_TOKENS, key: str = "doc_seq") -> DataFrame:
+    """key, index, text, start_pos, end_pos of every token; no shuffle, any pattern."""
+    return span_rows(docs, tokenizer.spans, key)
+
+
 def counted(text: Column, pattern: str = UNICODE) -> Column:
     """Number of tokens of a text, without exploding it."""
     return F.regexp_count(text, F.lit(pattern))

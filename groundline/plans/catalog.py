@@ -41,11 +41,15 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 
 def tokens_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.with_offsets(_docs(spark, sf_dir), tokens.NON_SPACE)
+    return tokens.token_rows(_docs(spark, sf_dir), tokens.NON_SPACE_TOKENS)
 
 
 def tokens_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.with_offsets(_docs(spark, sf_dir), tokens.UNICODE)
+    return tokens.token_rows(_docs(spark, sf_dir))
+
+
+def tokens_unicode_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.with_offsets(_docs(spark, sf_dir))
 
 
 def token_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +58,10 @@ def token_counts_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.sentence_rows(_docs(spark, sf_dir))
+
+
+def sentences_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.sentences(_docs(spark, sf_dir))
 
 
@@ -200,7 +208,7 @@ def render_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tokens_ws, tokens_unicode, token_counts_by_lang, sentences, chunks_2000, chunks_200, chunk_token_spans, prompt_context, example_issues,
+        tokens_ws, tokens_unicode, tokens_unicode_native, token_counts_by_lang, sentences, sentences_native, chunks_2000, chunks_200, chunk_token_spans, prompt_context, example_issues,
         fenced_payloads, parse_json_items, json_items_native, schema_violations, exact_all_occurrences, exact_first_ci, overlap_status,
         annotate_counts_by_status, fuzzy_align, merge_distinct, merge_greedy, merge_regroup, extract_regex_model, jsonl_roundtrip, render_marks,
     )
@@ -305,8 +313,10 @@ _ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&l
 ORACLE_SQL: dict[str, str] = {
     "tokens_ws": _token_sql(tokens.NON_SPACE),
     "tokens_unicode": _token_sql(_U),
+    "tokens_unicode_native": _token_sql(_U),
     "token_counts_by_lang": f"SELECT lang, count(*) AS n_docs, sum(len(regexp_extract_all(text, '{_U}')))::BIGINT AS n_tokens FROM documents GROUP BY lang",
     "sentences": f"WITH {_SENTENCES} SELECT doc_seq, (row_number() OVER (PARTITION BY doc_seq ORDER BY i) - 1)::INT AS \"index\", s::INT AS start_pos, e::INT AS end_pos FROM sent",
+    "sentences_native": f"WITH {_SENTENCES} SELECT doc_seq, (row_number() OVER (PARTITION BY doc_seq ORDER BY i) - 1)::INT AS \"index\", s::INT AS start_pos, e::INT AS end_pos FROM sent",
     "chunks_2000": _chunk_rows(2000),
     "chunks_200": _chunk_rows(200),
     "chunk_token_spans": f"""WITH RECURSIVE {_chunk_sql(2000)}, token AS ({_token_sql(_U)})

@@ -93,14 +93,24 @@ def test_native_tokens_and_sentences_are_the_kernels(spark):
     texts = _texts()
     docs = g.from_values(spark, texts)
     for pattern in (tokens.UNICODE, tokens.NON_SPACE):
+        for form in (g.with_offsets(docs, pattern), g.token_rows(docs, tokens.Tokenizer(pattern))):
+            got = {}
+            for r in form.orderBy("doc_seq", "index").collect():
+                assert r["index"] == len(got.setdefault(r.doc_seq, []))
+                got[r.doc_seq].append((r.text, r.start_pos, r.end_pos))
+            assert got == {i: x for i, t in enumerate(texts) if (x := spans(t, tokens.Tokenizer(pattern)))}
+    for form in (g.sentences(docs), g.sentence_rows(docs)):
         got = {}
-        for r in g.with_offsets(docs, pattern).orderBy("doc_seq", "index").collect():
-            got.setdefault(r.doc_seq, []).append((r.text, r.start_pos, r.end_pos))
-        assert got == {i: x for i, t in enumerate(texts) if (x := spans(t, tokens.Tokenizer(pattern)))}
-    got = {}
-    for r in g.sentences(docs).orderBy("doc_seq", "index").collect():
-        got.setdefault(r.doc_seq, []).append((r.start_pos, r.end_pos))
-    assert got == {i: x for i, t in enumerate(texts) if (x := chunks.sentence_spans(t))}
+        for r in form.orderBy("doc_seq", "index").collect():
+            assert r["index"] == len(got.setdefault(r.doc_seq, []))
+            got[r.doc_seq].append((r.start_pos, r.end_pos))
+        assert got == {i: x for i, t in enumerate(texts) if (x := chunks.sentence_spans(t))}
+
+
+def test_rows_of_no_documents(spark):
+    none = g.from_values(spark, ["x"]).limit(0)
+    for form in (g.token_rows(none), g.with_offsets(none), g.sentence_rows(none), g.sentences(none), g.chunked(none)):
+        assert form.collect() == []
 
 
 def test_chunk_rows(spark):
