@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.textops import WS, strip
 from ..schemas import CHUNKS
@@ -84,16 +85,20 @@ def chunks_of(text: str, most: int = 2000, tokenizer: Tokenizer = UNICODE_TOKENS
     return out
 
 
-def chunked(docs: DataFrame, max_char_buffer: int = 2000, tokenizer: Tokenizer = UNICODE_TOKENS) -> DataFrame:
-    """Chunks of (doc_seq, id, text): one Arrow pass, no shuffle."""
+def chunked(docs: DataFrame, max_char_buffer: int = 2000, tokenizer: Tokenizer = UNICODE_TOKENS, context_window_chars: int = 0) -> DataFrame:
+    """Chunks of (doc_seq, id, text): one Arrow pass, no shuffle. With a context window, ``before`` and ``after`` come along, so prompts need no join."""
     if max_char_buffer <= 0:
         raise ValueError("max_char_buffer must be positive")
-    names = CHUNKS.names
+    n = context_window_chars
+    schema = T.StructType([*CHUNKS.fields, *[T.StructField(c, T.StringType()) for c in ("before", "after") if n > 0]])
+
+    def beside(chunk: dict, text: str) -> dict:
+        return chunk | {"before": text[max(0, chunk["start_pos"] - n) : chunk["start_pos"]], "after": text[chunk["end_pos"] : chunk["end_pos"] + n]} if n > 0 else chunk
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [c | {"doc_seq": seq, "document_id": i} for seq, i, text in zip(frame["doc_seq"], frame["id"], frame["text"], strict=True) for c in chunks_of(text or "", max_char_buffer, tokenizer)]
-            out = pd.DataFrame(rows, columns=names)
+            rows = [beside(c, text) | {"doc_seq": seq, "document_id": i} for seq, i, text in zip(frame["doc_seq"], frame["id"], frame["text"], strict=True) if text for c in chunks_of(text, max_char_buffer, tokenizer)]
+            out = pd.DataFrame(rows, columns=schema.names)
             yield out.astype({c: "Int32" for c in ("chunk_index", "start_pos", "end_pos", "tok_start", "tok_end")})
 
-    return docs.select("doc_seq", "id", "text").mapInPandas(run, CHUNKS)
+    return docs.select("doc_seq", "id", "text").mapInPandas(run, schema)

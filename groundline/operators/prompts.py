@@ -117,11 +117,14 @@ def prompt_column(task: str, text: Column, pass_index: Column, *, examples: str
 def prompts(chunks: DataFrame, docs: DataFrame | None, task: str, *, examples: list | None = None, additional_context: str | None = None, context_window_chars: int = 0, passes: int = 1, validation: str = "warning") -> DataFrame:
     """doc_seq, chunk_index, pass_index, prompt for each chunk and pass.
 
-    ``docs`` (doc_seq, text) is joined only for context windows. Passes are a bounded explode, not a join.
+    Context windows are those of ``chunks`` (before, after), or are cut from ``docs`` (doc_seq, text), which is joined for
+    them. Passes are a bounded explode, not a join.
     """
     validate(examples or [], validation)
     before = after = None
-    if context_window_chars > 0:
+    if context_window_chars > 0 and "before" in chunks.columns:
+        before, after = F.col("before"), F.col("after")
+    elif context_window_chars > 0:
         chunks = chunks.join(docs.select("doc_seq", F.col("text").alias("document")), "doc_seq")
         before, after = window_columns(F.col("document"), F.col("start_pos"), F.col("end_pos"), context_window_chars)
     each = chunks.withColumn("pass_index", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))

@@ -82,8 +82,7 @@ def chunk_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir)
-    return prompts.prompts(chunks.chunked(docs, 2000), docs, TASK, additional_context="Invented prose", context_window_chars=WINDOW, passes=2)
+    return prompts.prompts(chunks.chunked(_docs(spark, sf_dir), 2000, context_window_chars=WINDOW), None, TASK, additional_context="Invented prose", context_window_chars=WINDOW, passes=2)
 
 
 def example_issues(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,9 +95,9 @@ def extract(docs: DataFrame, model: Any, prompt_description: str, **kept) -> Dat
 def model_outputs(docs: DataFrame, model: Any, prompt_description: str, path: str | None = None, **kept) -> DataFrame:
     """doc_seq, chunk_index, pass_index, output_text of every prompt; written to ``path`` and read again if given."""
     options, _ = _prepared(model, prompt_description, kept)
-    parts = chunks.chunked(docs, options.max_char_buffer, options.tokenizer)
+    parts = chunks.chunked(docs, options.max_char_buffer, options.tokenizer, options.context_window_chars)
     asked = prompts.prompts(
-        parts, docs, options.prompt_description, examples=options.examples, additional_context=options.additional_context,
+        parts, None, options.prompt_description, examples=options.examples, additional_context=options.additional_context,
         context_window_chars=options.context_window_chars, passes=options.extraction_passes, validation="off",
     )
 

@@ -81,7 +81,11 @@ def test_prompt():
 def test_prompt_columns_are_the_kernels(spark):
     docs = g.from_values(spark, ["One sentence. Another one follows. Third.", "Short."])
     parts = g.chunked(docs, 18)
-    got = {(r.doc_seq, r.chunk_index, r.pass_index): r.prompt for r in prompts.prompts(parts, docs, "T", additional_context="", context_window_chars=5, passes=2, examples=[{"text": "a b", "extractions": [{"text": "a"}]}]).collect()}
+    options = {"additional_context": "", "context_window_chars": 5, "passes": 2, "examples": [{"text": "a b", "extractions": [{"text": "a"}]}]}
+    got = {(r.doc_seq, r.chunk_index, r.pass_index): r.prompt for r in prompts.prompts(parts, docs, "T", **options).collect()}
+    unjoined = prompts.prompts(g.chunked(docs, 18, context_window_chars=5), None, "T", **options)
+    assert {(r.doc_seq, r.chunk_index, r.pass_index): r.prompt for r in unjoined.collect()} == got
+    assert "Exchange" not in unjoined._jdf.queryExecution().executedPlan().toString()
     texts = {r.doc_seq: r.text for r in docs.collect()}
     for r in parts.collect():
         for k in range(2):
