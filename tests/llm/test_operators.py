@@ -429,6 +429,12 @@ def test_line_bitmaps_rebuild_the_text(docs, rows):
         assert len(kept) == r.n_lines - r.n_dropped
 
 
+def test_first_lines_can_stay(spark):
+    rows = [(3, "a\nb\na"), (1, "x\n A \nb"), (2, "c\nB"), (None, "a")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=2, keep_first=True).collect()}
+    assert got == {1: "x\n A \nb", 2: "c", 3: "", None: ""}
+
+
 def test_cleaned_keeps_all_columns(docs, rows):
     out = line_dedup.cleaned(docs)
     assert out.columns == docs.columns
