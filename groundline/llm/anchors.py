@@ -15,8 +15,8 @@ import pandas as pd
 import xxhash
 
 RUN, REPEAT = 16, 51
-#: Words beside a run whose hashes go with it.
-NEAR, FAR = 6, 16
+#: Numbers of words beside a run whose hashes go with it, ``BITS`` bits each: even steps up to the REPEAT - RUN words that can lie between a shared stretch's end and its nearest anchor.
+BESIDE, BITS = (7, 14, 21, 29), 16
 _rng = np.random.default_rng(77001)
 _BASES = [np.uint64(int(x) | 1) for x in _rng.integers(1 << 62, 1 << 63, 2)]
 _INVERSE = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES]
@@ -31,7 +31,7 @@ class Anchors(NamedTuple):
     a: np.ndarray  # 128 bits of the run's words
     b: np.ndarray
     ahead: np.ndarray  # hash of the words from here to the end of the next anchor; 0 without one
-    left: np.ndarray  # two halves: hashes of the NEAR and of the FAR words before; 0 where there are fewer
+    left: np.ndarray  # hashes of the BESIDE words before, the nearest in the top bits; 0 where there are fewer
     right: np.ndarray  # and after
     next_word: np.ndarray  # number of the last word of the next anchor; of this one without a next
     starts: np.ndarray  # offsets of all words of all texts, in code points of their text
@@ -98,12 +98,13 @@ def anchors(texts: list[bytes]) -> Anchors:
     opens = np.searchsorted(doc, np.arange(len(texts) + 1))
     d = doc[at]
 
-    def beside(near: tuple[np.ndarray, np.ndarray], far: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-        halves = []
-        for s, e in (near, far):
+    def beside(stretches: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        out = np.zeros(len(at), np.uint64)
+        for s, e in stretches:
             inside = (s >= opens[d]) & (e <= opens[d + 1])
-            halves.append(np.where(inside, one.of(np.clip(s, 0, len(words)), np.clip(e, 0, len(words))), np.uint64(0)) >> np.uint64(32))
-        return (halves[0] << np.uint64(32) | halves[1]).view(np.int64)
+            h = one.of(np.clip(s, 0, len(words)), np.clip(e, 0, len(words))) >> np.uint64(64 - BITS)
+            out = out << np.uint64(BITS) | np.where(inside, np.maximum(h, 1), np.uint64(0))
+        return out.view(np.int64)
 
-    left, right = beside((at - NEAR, at), (at - FAR, at)), beside((at + RUN, at + RUN + NEAR), (at + RUN, at + RUN + FAR))
+    left, right = beside([(at - n, at) for n in BESIDE]), beside([(at + RUN, at + RUN + n) for n in BESIDE])
     return Anchors(d, at - opens[d], rank[at].view(np.int64), two.of(at, at + RUN).view(np.int64), ahead, left, right, stop - 1 - opens[d], point[first] - base, point[last] - base)
