@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, parts, prepared
+from . import similar
+from .common import cut, parts, prepared, rank_of
 from .components import components
 
 SHINGLE, MOST, PIVOTS = 3, 3, 48
@@ -240,9 +241,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with all their columns, of every component the document with the smallest doc_id only."""
+def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """The rows of ``docs`` with all their columns, of every component the document with the smallest doc_id only.
+
+    With a ``similarity``, components are of texts whose sets of ``shingle`` words have at least that Jaccard similarity
+    (``similar``); without, of fingerprints within ``MOST`` bits.
+    """
+    if similarity is not None:
+        return _firsts(docs, cut(similar.near_duplicates(docs, shingle, similarity)))
+    if shingle != SHINGLE:
+        raise ValueError(f"fingerprints are of {SHINGLE} words; other shingles need a similarity")
     found = near_duplicates(docs).where(F.col("doc_id").isNotNull())
     gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where(~F.col("stays"))
     gone = cut(gone.select(F.col("doc_id").alias("gone_id")))
     return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the first of their component in ``found`` (id, th, component)."""
+    stays = found.groupBy("component").agg(F.min(F.struct("id", "th")).alias("least")).select("least.id", "least.th")
+    gone = cut(found.select("id", "th").distinct().join(stays, ["id", "th"], "left_anti"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.select("row", rank_of(F.col("row.doc_id").cast("long")).alias("id"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("th"))
+    return rows.join(gone, ["id", "th"], "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -277,6 +277,43 @@ def test_simhash(docs, rows):
     assert got == want
 
 
+def five_word_components(rows, similarity=0.8):
+    words = [(t or "").encode().lower().split() for _, t, *_ in rows]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(len(rows))]
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefghijk") for _ in range(rnd.randint(2, 8)))
+    rows, far = [], 0
+    for g in range(40):
+        base = [word() for _ in range(rnd.randint(60, 200))]
+        for c in range(2 if g else 30):  # a crowd, larger than a bucket that is compared pair by pair
+            copy = list(base)
+            for _ in range(rnd.randint(0, 3) if c else 0):
+                copy[rnd.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000, ""), (1001, None), (1002, "two words"), (1003, "Two  words")]
+    label = five_word_components(rows)
+    prints = [simhash.fingerprint((t or "").encode()) for _, t in rows]
+    far = sum((prints[k] ^ prints[r]).bit_count() > 3 for k, r in enumerate(label))
+    assert far > 5  # near copies that the operator's fingerprints leave
+    got = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=5, similarity=0.8)
+    assert sorted(r.doc_id for r in got.collect()) == [rows[k][0] for k, r in enumerate(label) if k == r]
+
+
 @pytest.mark.parametrize("blocks", [4, 5, 6])
 def test_search_finds_every_link(blocks):
     rng = np.random.default_rng(blocks)

@@ -8,7 +8,7 @@ import corpus_pipeline
 from groundline.llm import mixing, queries, simhash
 from groundline.llm.common import cut, documents
 
-from .test_operators import lines_brute, sha
+from .test_operators import five_word_components, lines_brute, sha
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +70,11 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 100
+
+
+def test_near_duplicates_share_no_five_word_shingles(spark):
+    docs = cut(corpus_pipeline.lines(spark, documents(spark, SF), SF))
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    label = five_word_components(rows)
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == [i for k, (i, _) in enumerate(rows) if label[k] == k]
