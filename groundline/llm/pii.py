@@ -6,9 +6,11 @@ touch no base span: secrets (long keys), and obfuscated or odd forms of the four
 It is trained on the small labelled table below, by maximum likelihood (forward-backward
 and AdaGrad), and decoded by Viterbi for a batch of segments at once.
 
-What the CRF reads: the words within ``REACH`` code points of every digit or at sign, which
-is where a span can be: a tagged span counts only if it has a digit or an at sign. Words
-further away would be labelled as outside by that rule, so whole texts are covered.
+What the CRF reads: the words within ``REACH`` code points of every digit, at sign, spelled-out
+"at" or "dot" in brackets, and key word with = or : (``_NEAR``). A tagged e-mail address needs
+an "at", spelled out or not; an IP address, card or phone number a digit; a secret a digit or
+a key word right before it, since else any long word of prose could be one. Obfuscations
+without brackets and secrets with neither a digit nor a key word are not found.
 
 Edge cases: null or empty texts have no spans; texts of any length are scanned once; a
 null doc_id is carried along; other columns are ignored; repeated rows each get a row; an
@@ -74,6 +76,24 @@ the year 2024 and 1000000 years, 65536 words, 4096 bits
 Paris2024 and covid19 and mp3 and h264 are words
 on 5th Avenue 1234 people met at 9 pm
 room 101, box 42, item 7 @ 3 each
+write to {email|jane.doe [at] example [dot] org} today
+reach {email|bob (at) mail (dot) example (dot) com} for help
+contact {email|anna [at] firma.de} please
+ask {email|li.wei (at) mail (dot) example (dot) com} or call
+or {email|info[at]example[dot]net} instead
+password = {secret|correct-Horse-Battery} is set
+password: {secret|OpenSesamePlease} now
+passwd={secret|qwertyUiopAsdf} in it
+secret = "{secret|aBcDeFgHiJkLmNoPqRsT}" do not share
+token: {secret|XyZzYpLuGhQwErTy} expires
+api_key = '{secret|AbCdEfGhIjKlMnOp}' in the file
+the password: it must be long and easy to keep
+his secret: he never was there at all
+a token: the word or mark that a reader sees
+the key: work hard and be kind to others
+password = your own choice of words
+the arrow [dot] and the line (at) the top of the page
+the meeting (at the church) was long
 he said @ noon and at 5
 isbn 978 3 16 148410 0 and rfc 2616
 x = 3.14159 + 2.71828 - 1.41421
@@ -87,8 +107,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
+_DIGIT = re.compile(r"[0-9]")
+#: Where the CRF reads.
+_KEYED = r"(?:passw(?:or)?d|passphrase|pwd|secret|token|key|bearer|credentials?)[\"']?\s{0,3}[=:]"
+_NEAR = re.compile(rf"[0-9@]|[\[({{<]\s?(?:at|dot)\s?[\])}}>]|{_KEYED}", re.IGNORECASE)
+_KEY_BEFORE = re.compile(rf"{_KEYED}\s{{0,3}}[\"'`]?\Z", re.IGNORECASE)
 #: An e-mail address has a sign for "at", spelled out or not.
-_MADE_OF = re.compile(r"@|[\[(]\s?at\s?[\])]")
+_MADE_OF = re.compile(r"@|[\[({<]\s?at\s?[\])}>]", re.IGNORECASE)
+_SPACE = re.compile(r"\s")
 _TOKEN = re.compile(r"[^\W_]+|[^\s]|_")
 _LUHN = [0, 2, 4, 6, 8, 1, 3, 5, 7, 9]
 
@@ -291,22 +317,28 @@ def viterbi(sequences: list[np.ndarray], weights: tuple[np.ndarray, np.ndarray])
 
 
 def _segments(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches within REACH of a digit or at sign, widened to white space (by at most as much again)."""
+    """Stretches within REACH of what ``_NEAR`` finds, widened to white space."""
     lo = hi = -1
-    for m in _TRIGGER.finditer(text):
+    for m in _NEAR.finditer(text):
         s, e = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if s > hi >= 0 and (found := _SPACE.search(text, hi)):
+            hi = found.start()  # a stretch ends with its last word
+        elif s > hi >= 0:
+            hi = len(text)
         if s <= hi:
-            hi = e
+            hi = max(hi, e)
             continue
         if hi >= 0:
             yield lo, hi
+        while s > hi + 1 and not text[s - 1].isspace():
+            s -= 1
         lo, hi = s, e
     if hi >= 0:
-        yield lo, hi
+        yield lo, found.start() if (found := _SPACE.search(text, hi)) else len(text)
 
 
 def _tagged(text: str, base: list[Span], found: list[tuple[list[tuple[int, int]], np.ndarray]]) -> list[Span]:
-    """Spans of decoded segments that have a digit or at sign and touch no base span."""
+    """Spans of decoded segments that have what their kind needs and touch no base span."""
     out: list[Span] = []
     at = 0
     for places, labels in found:
@@ -322,7 +354,8 @@ def _tagged(text: str, base: list[Span], found: list[tuple[list[tuple[int, int]]
             s, e = places[k][0], places[j - 1][1]
             while at < len(base) and base[at][1] <= s:
                 at += 1
-            if _TRIGGER.search(text, s, e) and (name != "B-email" or _MADE_OF.search(text, s, e)) and not any(b[0] < e and s < b[1] for b in base[at : at + 8]):
+            made = (_MADE_OF if name == "B-email" else _TRIGGER if name == "B-secret" else _DIGIT).search(text, s, e) or (name == "B-secret" and _KEY_BEFORE.search(text[max(0, s - 40) : s]))
+            if made and not any(b[0] < e and s < b[1] for b in base[at : at + 8]):
                 out.append((s, e, name[2:]))
             k = j
     return out

@@ -180,6 +180,26 @@ def test_crf_adds_secrets_and_leaves_prose():
     assert texts[0][s:e] == "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
 
 
+def test_crf_finds_spans_without_digits():
+    for t, span in (
+        ("mail jane [at] example [dot] org about it", "jane [at] example [dot] org"), ("ask li.wei (at) mail (dot) example (dot) com", "li.wei (at) mail (dot) example (dot) com"),
+        ("write to tom.smith [at] company [dot] net now", "tom.smith [at] company [dot] net"), ("set password = correct-Horse-Battery in it", "correct-Horse-Battery"), ("secret: MyVeryHiddenPhrase ok", "MyVeryHiddenPhrase"),
+    ):
+        assert [t[s:e] for s, e, _ in pii.find([t])[0][1]] == [span]
+    for t in ("the password: it is a word of God", "a key: the first of many", "a word like dieeneinchkeit stands near 1998 alone"):
+        assert not pii.find([t])[0][1]
+
+
+def test_segments_end_with_words():
+    long_one = "x7" + "aB" * 60
+    t = f"secret: {long_one} end"
+    assert [t[s:e] for s, e, _ in pii.find([t])[0][1]] == [long_one]
+    for t in (f"{'wordy ' * 30}{'a' * 90}5{'b' * 90} {'wordy ' * 30}", "a" * 500 + "1", "1" + "a" * 500, "1 " + "ab " * 100 + "c" * 100 + "2"):
+        spans = list(pii._segments(t))
+        assert all((s == 0 or t[s - 1] == " ") and (e == len(t) or t[e] == " ") for s, e in spans)
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))  # noqa: B905
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     n = len(pii.LABELS)
