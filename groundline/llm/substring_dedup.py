@@ -12,7 +12,8 @@ themselves decide on, at least one in any 51 words that two documents share. An
 that an earlier document has goes, and so does the stretch up to the end of the next one
 if that is equal as well; so a passage goes from its first anchor to its last. Hashes of the
 words beside an anchor, in four steps, extend both ends by up to 29 words more; an end is
-found to within seven words.
+found to within seven words. Each step is compared with all earlier documents that have the
+anchor, not only with the first, which may hold just a part of the passage.
 
 Only sentences of ``min_words`` words or more take part: shorter ones recur by chance.
 
@@ -101,15 +102,33 @@ def _unit_batch(a, b, i, th, pos, *beside) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(i), pa.array(th), pa.array(pos.astype(np.int32)), *map(pa.array, beside)], names=["a", "b", "id", "th", "pos", "ahead", "left", "right"])
 
 
-def _shared(side: str) -> Column:
-    """How many words beside an anchor are those beside the first: the furthest step to which all hashes agree."""
-    own, differ = F.col(side), F.col(side).bitwiseXOR(F.col(f"first.{side}"))
-    n = F.lit(0)
+VARIANT = ["a", "b", "ahead", "left", "right"]
+
+
+def _steps(side: str) -> list[Column]:
+    """(words, hashes up to there) of the steps beside an anchor; null where the text has fewer words."""
+    out = []
     for k, words in enumerate(BESIDE, 1):
-        further = BITS * (len(BESIDE) - k)
-        there = F.shiftrightunsigned(own, further).bitwiseAND(F.lit((1 << BITS) - 1)) != 0
-        n = F.when(there & (F.shiftrightunsigned(differ, further) == 0), words).otherwise(n)
-    return n
+        upto = F.shiftrightunsigned(F.col(side), BITS * (len(BESIDE) - k))
+        out.append(F.when(upto.bitwiseAND(F.lit((1 << BITS) - 1)) != 0, F.struct(F.lit(side).alias("side"), F.lit(words).alias("words"), upto.alias("hash"))))
+    return out
+
+
+def _beside(anchors_: DataFrame) -> DataFrame:
+    """VARIANT and ``earliest``: (side, words, id, th) of the earliest document that has as much beside the anchor, for each step."""
+    variants = cut(anchors_.groupBy(*VARIANT).agg(F.min(F.struct("id", "th")).alias("least")))
+    ahead = F.when(F.col("ahead") != 0, F.struct(F.lit("ahead").alias("side"), F.lit(1).alias("words"), F.col("ahead").alias("hash")))
+    steps = variants.select(*VARIANT, "least", F.explode(F.array_compact(F.array(ahead, *_steps("left"), *_steps("right")))).alias("step")).select(*VARIANT, "least", "step.*")
+    key = ["a", "b", "side", "words", "hash"]
+    earliest = cut(steps.groupBy(*key).agg(F.min("least").alias("found")))
+    found = steps.drop("least").join(earliest, key)
+    return found.groupBy(*VARIANT).agg(F.collect_list(F.struct("side", "words", "found.id", "found.th")).alias("earliest"))
+
+
+def _shared(side: str) -> Column:
+    """How many words beside an anchor another, earlier document has too: the furthest step."""
+    of = F.filter("earliest", lambda x: (x["side"] == side) & ((x["id"] != F.col("id")) | (x["th"] != F.col("th"))))
+    return F.coalesce(F.array_max(F.transform(of, lambda x: x["words"])), F.lit(0))
 
 
 def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -119,13 +138,15 @@ def removed_units(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     of the next anchor; ``left`` and ``right``: words beside it that go, too.
     """
     units = cut(named(docs).select("id", "th", "text").mapInArrow(_units(min_words), UNITS))
-    first = units.groupBy("a", "b").agg(F.min(F.struct("id", "th", "pos", "ahead", "left", "right")).alias("first"), F.count("*").alias("n"))
+    first = units.groupBy("a", "b").agg(F.min(F.struct("id", "th", "pos")).alias("first"), F.count("*").alias("n"))
     first = cut(first.where("n > 1").select("a", "b", "first"))
+    shared = cut(units.join(first, ["a", "b"]))
     other = (F.col("id") != F.col("first.id")) | (F.col("th") != F.col("first.th"))
-    lost = units.join(first, ["a", "b"]).where(other | ((F.col("pos") < ANCHOR) & (F.col("pos") != F.col("first.pos"))))
-    further = (F.col("ahead") != 0) & (F.col("ahead") == F.col("first.ahead"))
-    unit = F.struct("pos", further.alias("further"), _shared("left").alias("left"), _shared("right").alias("right"))
-    return lost.groupBy("id", "th").agg(F.array_sort(F.collect_set(unit)).alias("removed"))
+    lost = shared.where(other | ((F.col("pos") < ANCHOR) & (F.col("pos") != F.col("first.pos"))))
+    sentences = lost.where(F.col("pos") < ANCHOR).select("id", "th", "pos", F.lit(False).alias("further"), *[F.lit(0).alias(x) for x in ("left", "right")])
+    runs = lost.where(F.col("pos") >= ANCHOR).join(_beside(shared.where(F.col("pos") >= ANCHOR)), VARIANT, "left")
+    runs = runs.select("id", "th", "pos", (_shared("ahead") > 0).alias("further"), _shared("left").alias("l"), _shared("right").alias("r"))
+    return sentences.union(runs).groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("pos", "further", "left", "right"))).alias("removed"))
 
 
 def _spans(texts: list[str], removed: list[list[dict] | None]) -> list[list[tuple[int, int]]]:

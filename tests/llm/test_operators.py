@@ -579,6 +579,21 @@ def test_any_long_passage_is_found_wherever_it_stands(spark):
     assert all(got[i].n_removed == 0 for i, _ in clean)
 
 
+def test_a_passage_goes_whole_if_its_earliest_holder_has_a_part(spark):
+    rnd = random.Random(17)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghijk") for _ in range(rnd.randint(2, 8))) for _ in range(n))
+    rows, passages = [], {}
+    for k in range(40):
+        passage = words(60)
+        part = " ".join(passage.split()[:40])
+        rows += [(10 * k + c, f"{words(40)} {p} {words(40)}") for c, p in enumerate((part, passage, passage))]
+        passages[10 * k + 2] = passage
+    got = {r.doc_id: r.n_removed_chars for r in substring_dedup.dedup_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone = [got[i] / len(p) for i, p in passages.items()]
+    assert min(gone) > 0.7 and max(gone) <= 1.02, sorted(gone)[:5]
+    assert all(got[i] == 0 for i in got if i % 10 == 0)
+
+
 def test_anchors_are_content_defined():
     from groundline.llm import anchors
 
