@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from . import similar
 from .common import cut, parts, prepared, rank_of
 from .components import components
+from .units import named
 
 SHINGLE, MOST, PIVOTS = 3, 3, 48
 NO_ID = 1 << 62
@@ -75,12 +76,14 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prints = np.fromiter((fingerprint(x.as_buffer().to_pybytes()) for x in batch.column("bytes")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+        names = [x for x in batch.schema.names if x != "bytes"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(prints.view(np.int64))], names=[*names, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, a signed long with the fingerprint's bits, for each row."""
-    return prepared(docs).select("doc_id", F.col("text").cast("binary").alias("bytes")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, the named long columns and fp, a signed long with the fingerprint's bits, for each row."""
+    schema = ", ".join(f"{c} long" for c in ("doc_id", *more, "fp"))
+    return prepared(docs, *more).select("doc_id", *more, F.col("text").cast("binary").alias("bytes")).mapInArrow(_fingerprints, schema)
 
 
 def blocks_for(n: int) -> int:
@@ -225,10 +228,9 @@ def _linked(masks: np.ndarray):
     return linked
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for each row."""
-    n = parts(docs.sparkSession)
-    rows = cut(fingerprints(docs))
+def _labels(rows: DataFrame) -> DataFrame:
+    """f and component_id (NO_ID or more without a doc_id) of each fingerprint of ``rows`` (doc_id, fp)."""
+    n = parts(rows.sparkSession)
     # a node is the smallest doc_id of its fingerprint; without one, 61 of its bits (those that share them are near anyway)
     nameless = F.lit(NO_ID) + F.col("fp").bitwiseAND(F.lit((1 << 61) - 1))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", nameless).alias("rep")))
@@ -236,13 +238,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = distinct.mapInArrow(_deal(masks, 4 * n), DEALT)
     links = dealt.groupBy("part").applyInArrow(_linked(masks), "u long, v long").distinct()
     found = components(links)
-    labels = cut(distinct.join(found, distinct["rep"] == found["node"], "left").select(F.col("fp").alias("f"), F.coalesce("root", "rep").alias("component_id")))
+    return cut(distinct.join(found, distinct["rep"] == found["node"], "left").select(F.col("fp").alias("f"), F.coalesce("root", "rep").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fp, component_id for each row."""
+    rows = cut(fingerprints(docs))
+    labels = _labels(rows)
     joined = rows.join(labels, rows["fp"] == labels["f"])
     return joined.select("doc_id", "fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """The rows of ``docs`` with all their columns, of every component the document with the smallest doc_id only.
+    """One row of ``docs`` with all its columns for every component, of the document with the smallest doc_id; null and repeated doc_ids take part.
 
     With a ``similarity``, components are of texts whose sets of ``shingle`` words have at least that Jaccard similarity
     (``similar``); without, of fingerprints within ``MOST`` bits.
@@ -251,16 +259,20 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float |
         return _firsts(docs, cut(similar.near_duplicates(docs, shingle, similarity)))
     if shingle != SHINGLE:
         raise ValueError(f"fingerprints are of {SHINGLE} words; other shingles need a similarity")
-    found = near_duplicates(docs).where(F.col("doc_id").isNotNull())
-    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).where(~F.col("stays"))
-    gone = cut(gone.select(F.col("doc_id").alias("gone_id")))
-    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+    prints = cut(fingerprints(named(docs).select(F.col("id").alias("doc_id"), "text", "th"), "th"))
+    # nodes are named by 61 bits of the fingerprint, since a doc_id can be null or have several texts
+    labels = _labels(prints.select(F.col("fp").bitwiseAND(F.lit((1 << 61) - 1)).alias("doc_id"), "fp"))
+    return _firsts(docs, cut(prints.join(labels, prints["fp"] == labels["f"]).select(F.col("doc_id").alias("id"), "th", F.col("component_id").alias("component"))))
 
 
 def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are the first of their component in ``found`` (id, th, component)."""
-    stays = found.groupBy("component").agg(F.min(F.struct("id", "th")).alias("least")).select("least.id", "least.th")
-    gone = cut(found.select("id", "th").distinct().join(stays, ["id", "th"], "left_anti"))
+    """Of each component in ``found`` (id, th, component) one row of ``docs``: of the smallest id, a null one last, then by th; of rows equal in both, any."""
+    stays = cut(found.groupBy("component").agg(F.min(F.struct("id", "th")).alias("least")).select("least.id", "least.th"))
+    count = found.groupBy("id", "th").agg(F.count("*").alias("n"))
+    gone = cut(count.join(stays, ["id", "th"], "left_anti").select("id", "th"))
+    repeated = cut(count.where("n > 1").join(stays, ["id", "th"], "left_semi").select("id", "th"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.select("row", rank_of(F.col("row.doc_id").cast("long")).alias("id"), F.xxhash64(F.coalesce(F.col("row.text"), F.lit(""))).alias("th"))
-    return rows.join(gone, ["id", "th"], "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    rows = rows.select("row", rank_of(F.col("row.doc_id").cast("long")).alias("id"), F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))).alias("th"))
+    single = rows.join(gone.union(repeated), ["id", "th"], "left_anti").select("row")
+    once = rows.join(repeated, ["id", "th"], "left_semi").groupBy("id", "th").agg(F.first("row").alias("row")).select("row")
+    return single.union(once).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

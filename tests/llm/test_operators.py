@@ -334,6 +334,16 @@ def test_near_copies_of_five_word_shingles(spark):
     assert sorted(r.doc_id for r in got.collect()) == [rows[k][0] for k, r in enumerate(label) if k == r]
 
 
+@pytest.mark.parametrize("by", [{}, {"shingle": 5, "similarity": 0.8}])
+def test_one_row_of_each_component_stays(spark, by):
+    rnd = random.Random(19)
+    text = lambda: " ".join("".join(rnd.choice("abcdefghijk") for _ in range(rnd.randint(2, 8))) for _ in range(50))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(1, a), (1, a), (2, a), (None, a), (1, b), (3, b), (None, c), (None, c), (None, d), (4, e), (4, c), (5, a)]
+    got = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), **by).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, a), (1, b), (4, c), (None, d), (4, e)])
+
+
 @pytest.mark.parametrize("blocks", [4, 5, 6])
 def test_search_finds_every_link(blocks):
     rng = np.random.default_rng(blocks)
