@@ -14,6 +14,12 @@ doc_id. Equal windows of WIDTH bytes have an equal anchor (the smallest hash amo
    with the smallest doc_id for each stretch of windows;
 4. the chunk marks the covered bytes.
 
+Whole runs are told apart by a 64-bit hash of their content: equal runs are reduced by it
+in steps 2 and 3, a run whose anchor has no second content meets its copies by it alone
+and never enters the index, and step 4 finds the runs of an answer by it. Of m different
+runs that meet, two have one hash with a probability of about m²/2^65 (m = 10^6: 3 in
+10^8), taking the hash as random; only then could bytes go or stay wrongly.
+
 Texts never leave their chunk: one shuffle of texts serves all three visits.
 
 Edge cases: null or empty texts have no windows (kept as empty); a null doc_id ranks
