@@ -147,6 +147,13 @@ def overlap_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_seq", "extraction_index", "text", "alignment_status", F.col("char_interval.start_pos").alias("start_pos"), F.col("char_interval.end_pos").alias("end_pos"))
 
 
+def overlap_status_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``overlap_status`` with the default threshold, so with fuzzy matches; SQL can't say it."""
+    docs = _docs(spark, sf_dir)
+    rows = pipeline.extraction_rows(alignment.annotate(docs, _items(docs, *map(F.lit, TARGETS))))
+    return rows.select("doc_seq", "extraction_index", "text", "alignment_status", F.col("char_interval.start_pos").alias("start_pos"), F.col("char_interval.end_pos").alias("end_pos"))
+
+
 def annotate_counts_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pipeline.extraction_rows(_annotated(spark, sf_dir))
     return rows.groupBy("alignment_status").agg(F.count("*").alias("n"))
@@ -208,7 +215,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokens_ws, tokens_unicode, tokens_unicode_native, token_counts_by_lang, sentences, sentences_native, chunks_2000, chunks_200, chunk_token_spans, prompt_context, example_issues,
-        fenced_payloads, parse_json_items, json_items_native, schema_violations, exact_all_occurrences, exact_first_ci, overlap_status,
+        fenced_payloads, parse_json_items, json_items_native, schema_violations, exact_all_occurrences, exact_first_ci, overlap_status, overlap_status_fuzzy,
         annotate_counts_by_status, fuzzy_align, merge_distinct, merge_greedy, merge_regroup, extract_regex_model, jsonl_roundtrip, render_marks,
     )
 }

@@ -160,6 +160,25 @@ def test_fuzzy_query_spans_reach_the_threshold(spark):
         assert similarity(for_match(r.text), for_match(texts[r.doc_seq][r.start_pos : r.end_pos])) >= 0.78
 
 
+def test_fuzzy_and_exact_matches_together(spark):
+    from groundline.functions.similarity import similarity
+    from groundline.functions.textops import for_match
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    place = lambda r: (r.doc_seq, r.extraction_index)
+    plain = {place(r): r for r in catalog.overlap_status(spark, sf).collect()}
+    rows = catalog.overlap_status_fuzzy(spark, sf).collect()
+    assert {place(r) for r in rows} == set(plain) and any(r.alignment_status == "fuzzy" for r in rows)
+    kept = {}
+    for r in rows:
+        if r.alignment_status == "fuzzy":
+            assert similarity(for_match(r.text), for_match(texts[r.doc_seq][r.start_pos : r.end_pos])) >= 0.78
+        if r.alignment_status in ("exact", "fuzzy"):
+            assert all(r.end_pos <= s or e <= r.start_pos for s, e in kept.setdefault(r.doc_seq, []))
+            kept[r.doc_seq].append((r.start_pos, r.end_pos))
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     docs = g.from_table(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang = 'en'"))
     plan = g.with_offsets(docs)._jdf.queryExecution().executedPlan().toString()
