@@ -5,6 +5,10 @@ from __future__ import annotations
 from collections import Counter
 from difflib import SequenceMatcher
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def similarity(target: str, candidate: str) -> float:
     """Matches by recursive longest common substrings, earliest in ``target`` first; not symmetric."""
@@ -15,6 +19,16 @@ def similarity(target: str, candidate: str) -> float:
     return SequenceMatcher(None, target, candidate, autojunk=False).ratio()
 
 
+def similarity_column(target: Column, candidate: Column) -> Column:
+    """:func:`similarity` of two columns; null if one is."""
+
+    @F.pandas_udf("double")
+    def scored(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    return scored(target, candidate)
+
+
 class Scorer:
     """Scores of candidates against one target that reach a threshold; cheap upper bounds go first and lose nothing."""
 

@@ -13,14 +13,14 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import AlignmentError
 from ..functions.similarity import Scorer
 from ..functions.textops import collapsed, fold, for_match, strip
-from ..schemas import DOCUMENTS, EXTRACTION
+from ..schemas import ANNOTATED, DOCUMENTS
 from .tokens import UNICODE_TOKENS, Tokenizer, covering
 
 THRESHOLD, MOST_STARTS = 0.78, 4000
@@ -96,7 +96,7 @@ class Aligner:
             if first:
                 return first, "overlap"
         if not self.suppress_errors:
-            raise AlignmentError(f"could not align extraction: {target}")
+            raise AlignmentError(f"nothing in the text is near enough to {target!r}")
         return None, "ungrounded"
 
     def _exact(self, target: str, ranges: list[Span]) -> Iterator[Span]:
@@ -166,13 +166,11 @@ def grounded(extraction: dict) -> bool:
     return extraction["char_interval"] is not None and extraction["alignment_status"] not in ("ungrounded", "error")
 
 
-ANNOTATED = T.StructType([*DOCUMENTS.fields, T.StructField("extractions", T.ArrayType(EXTRACTION))])
-
-
 def annotate(docs: DataFrame, items: DataFrame, tokenizer: Tokenizer = UNICODE_TOKENS, threshold: float = THRESHOLD, suppress_errors: bool = True, allow_overlaps: bool = False) -> DataFrame:
     """Documents with the extractions of ``items`` (doc_seq, item_index, text and any of the other item fields), no model involved.
 
-    Items are gathered by document (a document's items, not a corpus's) and joined; documents without items stay.
+    Items are gathered by document and joined; documents without items stay. A document with its items is one row, so
+    what bounds a task is the largest document's number of items, not the corpus.
     """
     fields = [F.col(c) if c in items.columns else F.lit(None).cast("string").alias(c) for c in ("extraction_class", "text", "description", "attributes_json", "group_id")]
     gathered = items.groupBy("doc_seq").agg(F.array_sort(F.collect_list(F.struct("item_index", *fields))).alias("items"))
@@ -189,15 +187,29 @@ def annotate(docs: DataFrame, items: DataFrame, tokenizer: Tokenizer = UNICODE_T
     return rows.mapInPandas(run, ANNOTATED)
 
 
-def occurrences(text: Column, target: Column) -> Column:
-    """Start positions of all case-sensitive occurrences, overlapping ones too: the text is split before each one."""
-    quoted = F.concat(F.lit("(?=\\Q"), F.replace(target, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    pieces = F.split(text, quoted, -1)
-    # the first piece ends where the first occurrence starts; without one there is one piece, the text
-    sizes = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.char_length(p))
-    ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(n + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)))))
-    at_start = F.when(F.startswith(text, target) & (target != ""), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    return F.when(target == "", F.array().cast("array<int>")).otherwise(F.array_distinct(F.concat(at_start, ends)))
+def starts_of(text: str, target: str) -> list[int]:
+    """Start positions of all case-sensitive occurrences, overlapping ones too."""
+    out = []
+    at = text.find(target) if target else -1
+    while at >= 0:
+        out.append(at)
+        at = text.find(target, at + 1)
+    return out
+
+
+def occurrence_rows(rows: DataFrame) -> DataFrame:
+    """doc_seq, target, start_pos of every occurrence in rows (doc_seq, text, target): one Arrow pass, linear in texts and matches; a null text or target, or an empty one, has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts, targets = (part.column(c).to_pylist() for c in ("text", "target"))
+                found = [starts_of(x or "", t or "") for x, t in zip(texts, targets, strict=True)]
+                row = pa.array([k for k, x in enumerate(found) for _ in x], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("doc_seq").take(row), part.column("target").take(row), pa.array([p for x in found for p in x], pa.int32())], names=["doc_seq", "target", "start_pos"])
+
+    return rows.select("doc_seq", "text", "target").mapInArrow(run, "doc_seq long, target string, start_pos int")
 
 
 def first_without_case(text: Column, target: Column) -> Column:

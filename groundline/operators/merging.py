@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .alignment import Taken, grounded
@@ -34,25 +35,28 @@ def first_of_each(rows: DataFrame, key: str = "doc_seq", order: str = "seq") ->
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, *KEY).orderBy(order))).where("_n = 1").drop("_n")
 
 
-def greedy(spans: Column) -> Column:
-    """Of an array of structs with start_pos and end_pos (null: not grounded), in order, those that overlap no kept one before."""
-
-    def step(kept: Column, x: Column) -> Column:
-        clash = F.exists(kept, lambda k: (k["start_pos"] < x["end_pos"]) & (x["start_pos"] < k["end_pos"]))
-        return F.when(F.coalesce(clash, F.lit(False)), kept).otherwise(F.concat(kept, F.array(x)))
-
-    return F.aggregate(spans, F.filter(spans, lambda x: F.lit(False)), step)
+def _kept(table: pa.Table, order: str) -> pa.Table:
+    table = table.sort_by([(order, "ascending"), ("start_pos", "ascending"), ("end_pos", "ascending")])
+    taken, keep = Taken(), []
+    for s, e in zip(table.column("start_pos").to_pylist(), table.column("end_pos").to_pylist(), strict=True):
+        clash = s is not None and e is not None and taken.overlaps((s, e))
+        keep.append(not clash)
+        if not clash and s is not None and e is not None and s < e:
+            taken.add((s, e))
+    return table.filter(pa.array(keep, pa.bool_()))
 
 
 def non_overlapping(rows: DataFrame, key: str = "doc_seq", order: str = "seq") -> DataFrame:
-    """Rows (key, order, start_pos, end_pos, ...) that :func:`greedy` keeps; a document's rows are gathered, never a corpus's."""
-    fields = [order, *(c for c in rows.columns if c not in (key, order))]
-    gathered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("x"))
-    return gathered.select(key, F.explode(greedy(F.col("x"))).alias("x")).select(key, "x.*")
+    """Rows (key, order, start_pos, end_pos, ...) that overlap no row of their document kept before, in order; rows without an interval stay.
+
+    What a row meets depends on all before it, so a document's rows are sorted and scanned in one task (n log n, in
+    Arrow memory): what bounds a task is the largest document's number of rows, not the corpus.
+    """
+    return rows.groupBy(key).applyInArrow(lambda table: _kept(table, order), rows.schema).select(key, order, *(c for c in rows.columns if c not in (key, order)))
 
 
 def regrouped(docs: DataFrame, rows: DataFrame, key: str = "doc_seq", order: str = "seq") -> DataFrame:
-    """Each document with its rows in order, documents without any too."""
+    """Each document with its rows in order, documents without any too; a document with its rows is one row, that is its bound."""
     fields = [order, *(c for c in rows.columns if c not in (key, order))]
     gathered = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("extractions"))
     out = docs.join(gathered, key, "left")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import FormatParsingError
 from ..functions.textops import WS, string_keys, stringified, strip, to_json
-from ..schemas import PARSED_ITEM
+from ..schemas import PARSED
 
 FENCE = rf"```(?:json|yaml|yml)?[{WS}]*(.*?)```"
 _FENCE = re.compile(FENCE, re.I | re.S)
@@ -177,10 +177,7 @@ def parsed(outputs: DataFrame, fmt: str = "auto", schema: dict | None = None, co
                     rows.append(([], str(e)))
             yield pd.DataFrame(rows, columns=["items", "parse_error"])
 
-    from pyspark.sql import types as T
-
-    kind = T.StructType([T.StructField("items", T.ArrayType(PARSED_ITEM)), T.StructField("parse_error", T.StringType())])
-    return outputs.withColumn("_parsed", F.pandas_udf(run, kind)(column)).select(*outputs.columns, "_parsed.items", "_parsed.parse_error")
+    return outputs.withColumn("_parsed", F.pandas_udf(run, PARSED)(column)).select(*outputs.columns, "_parsed.items", "_parsed.parse_error")
 
 
 def json_items(output: Column) -> Column:

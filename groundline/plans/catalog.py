@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.similarity import similarity_column
 from ..functions.textops import WS
 from ..operators import alignment, chunks, merging, parsing, prompts, tokens
-from ..operators.models import RegexModel
+from ..operators.models import ConstantModel, RegexModel
 from ..sources import documents, html, jsonl
 from . import pipeline
 
@@ -29,12 +33,11 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    """A fresh place in the folder that the cluster shares."""
-    import tempfile
-    import uuid
-
+    """A fresh place in the folder that the cluster shares; a local one only where all executors are threads of this process."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="groundline-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -85,6 +88,14 @@ def prompt_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.prompts(chunks.chunked(_docs(spark, sf_dir), 2000, context_window_chars=WINDOW), None, TASK, additional_context="Invented prose", context_window_chars=WINDOW, passes=2)
 
 
+EXAMPLES = ({"text": "Ann met Bo", "extractions": [{"text": "Ann", "extraction_class": "name"}]}, {"text": "Nobody came", "extractions": []})
+
+
+def prompt_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts with few-shot examples and no context."""
+    return prompts.prompts(chunks.chunked(_docs(spark, sf_dir), 2000), None, TASK, examples=list(EXAMPLES), validation="off").select("doc_seq", "chunk_index", "prompt")
+
+
 def example_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn as an example whose extraction is the first word of the turn after it."""
     from pyspark.sql import Window
@@ -118,13 +129,49 @@ def json_items_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("text is not null")
 
 
+#: Forms of answers, one for each remainder of doc_id: the payload around an item, or one that can't be read.
+FORMS = (
+    '{{"data": [{0}]}}', '{{"items": [{0}, null]}}', "{0}", "Here:\n```json\n[{0}, {0}]\n```", '{{"extractions": [{0}, 7]}}', "no payload at all: [", '{{"extractions": []}}',
+    "```yaml\nextractions:\n- type: k{1}\n  extraction_text: t{1}\n  attributes:\n    n: {1}\n```", "```\n- text: {1}\n```", '```json\n{{bad\n```\nand ```json\n{{"text": "second {1}"}}\n```',
+)
+
+
+def _forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = F.format_string('{"type": "k%d", "text": "q%d", "description": "d", "group_id": %d, "attributes": {"x": true}}', "doc_id", "quality", "toxic")
+    made = [F.concat(*_filled(f, item, F.col("doc_id").cast("string"))) for f in FORMS]
+    return _table(spark, sf_dir, "labels").select("doc_id", F.get(F.array(*made), F.pmod("doc_id", F.lit(len(FORMS))).cast("int")).alias("output_text"))
+
+
+def _filled(form: str, *values) -> list:
+    """Pieces of a format string with columns at its places."""
+    pieces = re.split(r"(\{\d\})", form.replace("{{", "\0").replace("}}", "\1"))
+    return [values[int(x[1])] if re.fullmatch(r"\{\d\}", x) else F.lit(x.replace("\0", "{").replace("\1", "}")) for x in pieces]
+
+
+def parse_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsing.item_rows(parsing.parsed(_forms(spark, sf_dir))).drop("output_text")
+
+
+def parse_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many items each answer gives, and whether it is an error."""
+    return parsing.parsed(_forms(spark, sf_dir)).select("doc_id", F.size("items").alias("n_items"), F.col("parse_error").isNotNull().alias("failed"))
+
+
+def schema_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A property of the wrong type."""
+    schema = {"properties": {"group_id": {"type": "string"}, "attributes": {"type": "object"}}}
+    text = F.format_string('[{"text": "a", "group_id": "g"}, {"text": "b", "group_id": %s}]', F.when(F.col("quality") == 1, F.lit('"g"')).otherwise(F.lit("3")))
+    outputs = _table(spark, sf_dir, "labels").select("doc_id", text.alias("output_text"))
+    return parsing.parsed(outputs, schema=schema).select("doc_id", F.size("items").alias("n_items"), "parse_error")
+
+
 def schema_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.parsed(_outputs(spark, sf_dir), schema=SCHEMA).select("doc_id", F.size("items").alias("n_items"), "parse_error")
 
 
 def exact_all_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).withColumn("target", F.explode(F.array(*map(F.lit, LOOKED_FOR))))
-    return docs.select("doc_seq", "target", F.explode(alignment.occurrences(F.col("text"), F.col("target"))).alias("start_pos"))
+    return alignment.occurrence_rows(docs)
 
 
 def exact_first_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,6 +201,33 @@ def overlap_status_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_seq", "extraction_index", "text", "alignment_status", F.col("char_interval.start_pos").alias("start_pos"), F.col("char_interval.end_pos").alias("end_pos"))
 
 
+def token_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens that each extraction covers."""
+    rows = pipeline.extraction_rows(_annotated(spark, sf_dir))
+    return rows.select("doc_seq", "extraction_index", F.col("token_interval.start_pos").alias("tok_start"), F.col("token_interval.end_pos").alias("tok_end"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as documents: a sentence about each, with a decomposed accent."""
+    text = F.concat("p_name", F.lit(" of "), "p_type", F.lit(", "), "p_brand", F.lit(" cafe\u0301"))
+    return documents.spread(documents.from_table(_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", text.alias("text")), seq="p_partkey"))
+
+
+def fuzzy_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt names, twice, so that the second finds the first's place taken; an accent composed otherwise; a brand as it is."""
+    docs = _parts(spark, sf_dir)
+    name = F.regexp_extract("text", "^(.*) of ", 1)
+    items = _items(docs, F.translate(name, "aei", "xxx"), F.translate(name, "ou", "yy"), F.lit("CAF\u00c9"), F.regexp_extract("text", ", (.*) ", 1), F.concat(F.lit("the "), name))
+    rows = pipeline.extraction_rows(alignment.annotate(docs, items))
+    return rows.select("doc_seq", "extraction_index", "text", "alignment_status", F.col("char_interval.start_pos").alias("start_pos"), F.col("char_interval.end_pos").alias("end_pos"))
+
+
+def similarity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's name against its letters in another order and its type."""
+    parts = _table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("a"), F.concat(F.translate("p_name", "aeioulr", "eiouarl"), F.lit(" "), F.lower("p_type")).alias("b"))
+    return parts.select("p_partkey", similarity_column(F.col("a"), F.col("b")).alias("forth"), similarity_column(F.col("b"), F.col("a")).alias("back"))
+
+
 def annotate_counts_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pipeline.extraction_rows(_annotated(spark, sf_dir))
     return rows.groupBy("alignment_status").agg(F.count("*").alias("n"))
@@ -211,12 +285,26 @@ def render_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.sections(alignment.annotate(docs, _items(docs, F.lit("the")), threshold=1.01))
 
 
+def render_clashing_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several marks a document with classes, of which some clash: of equal or overlapping ones the first by start is shown."""
+    docs = _parts(spark, sf_dir)
+    items = docs.select("doc_seq", F.posexplode(F.array(*[F.struct(t.alias("text"), F.lit(c).alias("extraction_class")) for t, c in ((F.lit(" of "), "a&b"), (F.lit("of"), "inside"), (F.regexp_extract("text", ", (.*) ", 1), "brand"))])).alias("item_index", "x"))
+    return html.sections(alignment.annotate(docs, items.select("doc_seq", "item_index", "x.*"), threshold=1.01, allow_overlaps=True))
+
+
+def extract_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers that can't be read give no extractions if parsing is lenient, nor if errors are suppressed."""
+    docs = _docs(spark, sf_dir)
+    out = [pipeline.extract(docs, ConstantModel("no payload: ["), TASK, prompt_validation="off", **kept).select("doc_seq", F.size("extractions").alias("n")) for kept in ({"strict": False}, {"suppress_parse_errors": True})]
+    return out[0].union(out[1]).groupBy("doc_seq").agg(F.sum("n").alias("n_extractions"), F.count("*").alias("n_runs"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tokens_ws, tokens_unicode, tokens_unicode_native, token_counts_by_lang, sentences, sentences_native, chunks_2000, chunks_200, chunk_token_spans, prompt_context, example_issues,
-        fenced_payloads, parse_json_items, json_items_native, schema_violations, exact_all_occurrences, exact_first_ci, overlap_status, overlap_status_fuzzy,
-        annotate_counts_by_status, fuzzy_align, merge_distinct, merge_greedy, merge_regroup, extract_regex_model, jsonl_roundtrip, render_marks,
+        tokens_ws, tokens_unicode, tokens_unicode_native, token_counts_by_lang, sentences, sentences_native, chunks_2000, chunks_200, chunk_token_spans, prompt_context, prompt_examples, example_issues,
+        fenced_payloads, parse_json_items, json_items_native, parse_forms, parse_failures, schema_violations, schema_types, exact_all_occurrences, exact_first_ci, overlap_status, overlap_status_fuzzy, token_intervals, fuzzy_parts, similarity_pairs,
+        annotate_counts_by_status, fuzzy_align, merge_distinct, merge_greedy, merge_regroup, extract_regex_model, extract_lenient, jsonl_roundtrip, render_marks, render_clashing_marks,
     )
 }
 
@@ -314,6 +402,57 @@ _ALIGNED = f"""
         aligned AS (
           SELECT doc_seq, unnest(range(0, {len(TARGETS)}))::INT AS extraction_index, unnest({list(TARGETS)!r}) AS text, unnest(l).st AS alignment_status, unnest(l).s::INT AS start_pos FROM folded)"""
 
+#: Parts as documents, under the name that the statements here read.
+_PARTS = "documents AS (SELECT p_partkey AS doc_id, p_name, p_brand, p_name || ' of ' || p_type || ', ' || p_brand || ' cafe' || chr(769) AS text FROM part)"
+
+#: matched (a, b, r): the similarity of each pair (a, b) in ``pairs``: the longest common stretch, the earliest in a and then in b, and again on both sides of it.
+_SIMILAR = """
+        work AS (
+          SELECT a, b, 0::BIGINT AS alo, length(a)::BIGINT AS ahi, 0::BIGINT AS blo, length(b)::BIGINT AS bhi, 0::BIGINT AS m FROM pairs
+          UNION ALL
+          SELECT a, b, unnest([alo, i + k]), unnest([i, ahi]), unnest([blo, j + k]), unnest([j, bhi]), unnest([k, 0]) FROM (
+            SELECT a, b, alo, ahi, blo, bhi, i, k, blo + strpos(substr(b, blo + 1, bhi - blo), substr(a, i + 1, k)) - 1 AS j
+            FROM (SELECT *, unnest(range(1, least(ahi - i, bhi - blo) + 1)) AS k FROM (SELECT *, unnest(range(alo, ahi)) AS i FROM work WHERE bhi > blo))
+            WHERE strpos(substr(b, blo + 1, bhi - blo), substr(a, i + 1, k)) > 0
+            QUALIFY row_number() OVER (PARTITION BY a, b, alo, ahi, blo, bhi ORDER BY k DESC, i) = 1)),
+        matched AS (SELECT a, b, 2.0::DOUBLE * sum(m) / (length(a) + length(b)) AS r FROM work GROUP BY a, b)"""
+
+
+def _normal(x: str) -> str:
+    return f"trim(regexp_replace(lower(nfc_normalize({x})), '[{WS}]+', ' ', 'g'))"
+
+
+#: The items of ``fuzzy_parts``: exact, without case, then windows at tokens by their similarity; each in the first place that no earlier item took.
+_FUZZY = rf"""
+        token AS ({_token_sql(_U)}),
+        item AS (
+          SELECT doc_id AS doc_seq, text, unnest([translate(p_name, 'aei', 'xxx'), translate(p_name, 'ou', 'yy'), 'CAF' || chr(201), p_brand, 'the ' || p_name]) AS t, unnest(range(0, 5)) AS k FROM documents),
+        plain AS (
+          SELECT *, list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(t)) = t) AS exact, strpos(lower(text), lower(t)) - 1 AS ci,
+                 greatest(1, floor(length(t) * 0.65::DOUBLE))::BIGINT AS shortest, ceil(length(t) * 1.35::DOUBLE)::BIGINT AS longest FROM item),
+        spans AS (
+          SELECT p.doc_seq, k, {_normal("t")} AS goal, p.text, o.start_pos AS s, unnest(range(o.start_pos + shortest, least(o.start_pos + longest, length(p.text)) + 1)) AS e
+          FROM plain p JOIN token o ON o.doc_seq = p.doc_seq WHERE len(exact) = 0 AND ci < 0),
+        win AS (SELECT doc_seq, k, goal, s, e, {_normal("substr(text, s + 1, e - s)")} AS w FROM spans),
+        pairs AS (SELECT DISTINCT goal AS a, w AS b FROM win WHERE 2.0::DOUBLE * least(length(goal), length(w)) / (length(goal) + length(w)) >= 0.78::DOUBLE),
+        {_SIMILAR},
+        near AS (SELECT doc_seq, k, list({{'s': s::BIGINT, 'e': e::BIGINT}} ORDER BY r DESC, s, e) AS p FROM win JOIN matched ON goal = a AND w = b WHERE r >= 0.78::DOUBLE GROUP BY doc_seq, k),
+        places AS (
+          SELECT x.doc_seq, x.k, t, CASE WHEN len(exact) > 0 OR ci >= 0 THEN 'exact' ELSE 'fuzzy' END AS st,
+                 CASE WHEN len(exact) > 0 THEN list_transform(exact, lambda i: {{'s': i, 'e': i + length(t)}}) WHEN ci >= 0 THEN [{{'s': ci, 'e': ci + length(t)}}] ELSE coalesce(near.p, []) END AS p
+          FROM plain x LEFT JOIN near ON near.doc_seq = x.doc_seq AND near.k = x.k),
+        folded AS (
+          SELECT doc_seq, list(t ORDER BY k) AS t, list_reduce(list({{'p': p, 'st': st, 'taken': []::STRUCT(s BIGINT, e BIGINT)[], 'out': []::STRUCT(s BIGINT, e BIGINT, st VARCHAR)[]}} ORDER BY k), lambda acc, x:
+            {{'p': x.p, 'st': x.st,
+             'taken': CASE WHEN len(list_filter(x.p, lambda i: len(list_filter(acc.taken, lambda o: o.s < i.e AND i.s < o.e)) = 0)) > 0
+               THEN list_append(acc.taken, list_filter(x.p, lambda i: len(list_filter(acc.taken, lambda o: o.s < i.e AND i.s < o.e)) = 0)[1]) ELSE acc.taken END,
+             'out': list_append(acc.out, CASE WHEN len(x.p) = 0 THEN {{'s': NULL::BIGINT, 'e': NULL::BIGINT, 'st': 'ungrounded'}}
+               WHEN len(list_filter(x.p, lambda i: len(list_filter(acc.taken, lambda o: o.s < i.e AND i.s < o.e)) = 0)) > 0
+               THEN {{'s': list_filter(x.p, lambda i: len(list_filter(acc.taken, lambda o: o.s < i.e AND i.s < o.e)) = 0)[1].s,
+                      'e': list_filter(x.p, lambda i: len(list_filter(acc.taken, lambda o: o.s < i.e AND i.s < o.e)) = 0)[1].e, 'st': x.st}}
+               ELSE {{'s': x.p[1].s, 'e': x.p[1].e, 'st': 'overlap'}} END)}},
+            {{'p': []::STRUCT(s BIGINT, e BIGINT)[], 'st': '', 'taken': []::STRUCT(s BIGINT, e BIGINT)[], 'out': []::STRUCT(s BIGINT, e BIGINT, st VARCHAR)[]}}).out AS l FROM places GROUP BY doc_seq)"""
+
 _ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -334,6 +473,9 @@ ORACLE_SQL: dict[str, str] = {
           'Context before:' || chr(10) || substr(text, greatest(start_pos - {WINDOW}, 0) + 1, start_pos - greatest(start_pos - {WINDOW}, 0)), 'Context after:' || chr(10) || substr(text, end_pos + 1, {WINDOW}),
           'Text:' || chr(10) || substr(text, start_pos + 1, end_pos - start_pos), '{_quoted(prompts.CONTRACT)}') AS prompt
         FROM chunk JOIN documents ON doc_id = doc_seq, range(0, 2) AS p(pass_index)""",
+    "prompt_examples": f"""WITH RECURSIVE {_chunk_sql(2000)}
+        SELECT doc_seq, chunk_index, concat_ws(chr(10) || chr(10), 'Task: {TASK}', '{_quoted(prompts.examples_section(list(EXAMPLES)))}',
+          'Text:' || chr(10) || substr(text, start_pos + 1, end_pos - start_pos), '{_quoted(prompts.CONTRACT)}') AS prompt FROM chunk JOIN documents ON doc_id = doc_seq""",
     "example_issues": f"""WITH w AS (SELECT conv_id, turn, text, regexp_extract(coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), ''), '[^{WS}]+') AS wanted FROM conversations)
         SELECT conv_id, turn, CASE WHEN NOT regexp_matches(wanted, '[^{WS}\\x00]') THEN 'text is empty' WHEN strpos(text, wanted) = 0 THEN 'text is not present in example text' END AS issue FROM w""",
     "fenced_payloads": f"""WITH {_OUTPUTS}, b AS (SELECT doc_id, regexp_extract_all(o, '(?is)```(?:json|yaml|yml)?[{WS}]*(.*?)```', 1) AS l FROM out)
@@ -344,12 +486,30 @@ ORACLE_SQL: dict[str, str] = {
     "json_items_native": """
         SELECT doc_id, 0 AS item_index, CASE WHEN quality = 1 THEN 'good' END AS extraction_class, 'q' || quality AS text FROM labels
         UNION ALL SELECT doc_id, 2, 'toxic', 't' || toxic FROM labels""",
+    "parse_forms": f"""
+        WITH one AS (SELECT *, doc_id % {len(FORMS)} AS form FROM labels),
+        item AS (SELECT doc_id, form, unnest(CASE WHEN form = 3 THEN [0, 1] WHEN form < 3 THEN [0] ELSE [] END) AS i, quality, toxic FROM one)
+        SELECT doc_id, i::INT AS item_index, 'k' || doc_id AS extraction_class, 'q' || quality AS text, 'd' AS description, '{{"x": true}}' AS attributes_json, toxic::VARCHAR AS group_id FROM item
+        UNION ALL SELECT doc_id, 0, 'k' || doc_id, 't' || doc_id, NULL, '{{"n": ' || doc_id || '}}', NULL FROM one WHERE form = 7
+        UNION ALL SELECT doc_id, 0, NULL, doc_id::VARCHAR, NULL, '{{}}', NULL FROM one WHERE form = 8
+        UNION ALL SELECT doc_id, 0, NULL, 'second ' || doc_id, NULL, '{{}}', NULL FROM one WHERE form = 9""",
+    "parse_failures": f"""
+        SELECT doc_id, CASE WHEN doc_id % {len(FORMS)} = 3 THEN 2 WHEN doc_id % {len(FORMS)} IN (4, 5, 6) THEN 0 ELSE 1 END AS n_items, doc_id % {len(FORMS)} IN (4, 5) AS failed FROM labels""",
+    "schema_types": "SELECT doc_id, CASE WHEN quality = 1 THEN 2 ELSE 0 END AS n_items, CASE WHEN quality <> 1 THEN 'schema validation failed: extraction 1 group_id must be string' END AS parse_error FROM labels",
     "schema_violations": """
         SELECT doc_id, CASE WHEN quality = 1 THEN 2 ELSE 0 END AS n_items, CASE WHEN quality <> 1 THEN 'schema validation failed: extraction 0 missing extraction_class' END AS parse_error FROM labels""",
     "exact_all_occurrences": f"""
         SELECT doc_id AS doc_seq, target, unnest(list_filter(range(0, length(text)), lambda i: substr(text, i + 1, length(target)) = target))::INT AS start_pos
         FROM documents, (SELECT unnest({list(LOOKED_FOR)!r}) AS target)""",
     "exact_first_ci": f"SELECT doc_id AS doc_seq, target, (strpos(lower(text), lower(target)) - 1)::INT AS start_pos FROM documents, (SELECT unnest({list(LOOKED_FOR)!r}) AS target)",
+    "token_intervals": f"""WITH {_ALIGNED}, token AS ({_token_sql(_U)})
+        SELECT a.doc_seq, a.extraction_index, min(t."index")::INT AS tok_start, (max(t."index") + 1)::INT AS tok_end
+        FROM aligned a LEFT JOIN token t ON t.doc_seq = a.doc_seq AND t.start_pos < a.start_pos + length(a.text) AND a.start_pos < t.end_pos GROUP BY a.doc_seq, a.extraction_index""",
+    "fuzzy_parts": f"""WITH RECURSIVE {_PARTS}, {_FUZZY}
+        SELECT doc_seq, (generate_subscripts(l, 1) - 1)::INT AS extraction_index, unnest(t) AS text, unnest(l).st AS alignment_status, unnest(l).s::INT AS start_pos, unnest(l).e::INT AS end_pos FROM folded""",
+    "similarity_pairs": f"""WITH RECURSIVE names AS (SELECT p_partkey, p_name AS a, translate(p_name, 'aeioulr', 'eiouarl') || ' ' || lower(p_type) AS b FROM part),
+        pairs AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM names UNION ALL SELECT b, a FROM names)), {_SIMILAR}
+        SELECT p_partkey, x.r AS forth, y.r AS back FROM names n JOIN matched x ON x.a = n.a AND x.b = n.b JOIN matched y ON y.a = n.b AND y.b = n.a""",
     "overlap_status": f"WITH {_ALIGNED} SELECT doc_seq, extraction_index, text, alignment_status, start_pos, (start_pos + length(text))::INT AS end_pos FROM aligned",
     "annotate_counts_by_status": f"WITH {_ALIGNED} SELECT alignment_status, count(*) AS n FROM aligned GROUP BY alignment_status",
     "merge_distinct": f"WITH {_SPANS}, {_FIRST} SELECT * FROM firsts",
@@ -362,6 +522,13 @@ ORACLE_SQL: dict[str, str] = {
         o AS (SELECT *, sum(length(gap) + length(text)) OVER (PARTITION BY doc_seq ORDER BY i) AS e FROM m)
         SELECT doc_seq, 'email' AS extraction_class, text, 'exact' AS alignment_status, (e - length(text))::INT AS start_pos, e::INT AS end_pos FROM o""",
     "jsonl_roundtrip": "SELECT doc_id::VARCHAR AS id, text, 1 AS n_extractions, lang FROM documents",
+    "extract_lenient": "SELECT doc_id AS doc_seq, 0::BIGINT AS n_extractions, 2::BIGINT AS n_runs FROM documents",
+    "render_clashing_marks": f"""
+        WITH {_PARTS}, p AS (SELECT *, strpos(text, ' of ') AS a, strpos(text, p_brand) AS b FROM documents)
+        SELECT doc_id AS doc_seq, '<section>' || chr(10) || '<h1>' || doc_id || '</h1>' || chr(10) || '<pre>' || {_ESCAPED.format("substr(text, 1, a - 1)")}
+          || '<mark data-status="exact"> of <span class="label">a&amp;b</span></mark>' || {_ESCAPED.format("substr(text, a + 4, b - a - 4)")}
+          || '<mark data-status="exact">' || {_ESCAPED.format("p_brand")} || '<span class="label">brand</span></mark>' || {_ESCAPED.format("substr(text, b + length(p_brand))")}
+          || '</pre>' || chr(10) || '</section>' || chr(10) AS html FROM p""",
     "render_marks": f"""
         WITH p AS (SELECT doc_id, text, CASE WHEN strpos(text, 'the') > 0 THEN strpos(text, 'the') ELSE strpos(lower(text), 'the') END AS a FROM documents)
         SELECT doc_id AS doc_seq, '<section>' || chr(10) || '<h1>' || doc_id || '</h1>' || chr(10) || '<pre>' || CASE WHEN a > 0

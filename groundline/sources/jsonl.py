@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import IOFailure
-from ..functions.textops import string_keys, stringified, strip, to_json
+from ..functions.textops import BLANKS, string_keys, stringified, strip, to_json
 from ..schemas import ANNOTATED
 
 
@@ -106,10 +106,12 @@ def save_file(annotated: DataFrame, path: str) -> str:
     return path
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    """Annotated documents of a file or folder; blank lines are skipped, a bad line fails the load.
+def load(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """Annotated documents of a file or folder; blank lines are skipped.
 
-    doc_seq is the line's place: partition and row, ascending in the order of the files.
+    doc_seq is the line's place: partition and row, ascending in the order of the files. ``check``: a line that isn't
+    JSON fails the load at once, by one native pass that makes no documents of them; a line with other faults (or any,
+    without the check) fails what reads it.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,9 +124,11 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
     try:
         lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("doc_seq"), "value")
-        out = lines.mapInPandas(run, ANNOTATED)
-        # bad lines show only when they are read: the load as a whole fails, so they are read once here
-        out.agg(F.count("*")).first()
-        return out
+        if check:
+            blank = F.btrim("value", F.lit(BLANKS)) == ""
+            bad = lines.where(~blank & F.try_parse_json("value").isNull()).select(F.substring("value", 1, 80)).limit(1).collect()
+            if bad:
+                raise IOFailure(f"could not read {path}: a line is no JSON: {bad[0][0]}")
+        return lines.mapInPandas(run, ANNOTATED)
     except PySparkException as e:
         raise IOFailure(f"could not read {path}: {e}") from e

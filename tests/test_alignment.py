@@ -95,8 +95,9 @@ def test_annotate(spark):
     assert b.extractions == []
 
 
-def test_native_occurrences(spark):
-    pairs = [("aaa", "aa"), ("abab", "ab"), ("x\\Ey\\E", "\\E"), ("", "a"), ("a", ""), ("é.é.", "."), ("𝒳a𝒳", "𝒳"), ("a\nb\nb", "b"), ("(a(", "(")]
-    df = spark.createDataFrame(pairs, "text string, target string").withColumn("p", alignment.occurrences(F.col("text"), F.col("target")))
-    for r in df.collect():
-        assert r.p == [i for i in range(len(r.text)) if r.target and r.text.startswith(r.target, i)], r
+def test_occurrences(spark):
+    pairs = [("aaa", "aa"), ("abab", "ab"), ("x\\Ey\\E", "\\E"), ("", "a"), ("a", ""), (None, "a"), ("a", None), ("é.é.", "."), ("𝒳a𝒳", "𝒳"), ("a\nb\nb", "b"), ("(a(", "("), ("a" * 30_000, "aaa")]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "doc_seq long, text string, target string")
+    got = sorted((r.doc_seq, r.target, r.start_pos) for r in alignment.occurrence_rows(df).collect())
+    assert got == [(k, t, i) for k, (x, t) in enumerate(pairs) if x and t for i in range(len(x)) if x.startswith(t, i)]
+    assert alignment.occurrence_rows(df.limit(0)).collect() == []
