@@ -7,6 +7,7 @@ meet the operators' own ones.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -26,9 +27,11 @@ def parts(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset and all executors are threads of this process."""
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     import tempfile
 
     made = "file://" + tempfile.mkdtemp(prefix="groundline-")
@@ -36,15 +39,28 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: lineage ends here, and a lost executor costs no rerun."""
+def _place(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again: lineage ends here, and a lost executor costs no rerun.
+
+    ``spent``: tables of former cuts that nothing but ``df`` reads; they are deleted once it is written, all others when
+    the session ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/groundline-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
     df.write.parquet(path)
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _place(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path
+    for x in spent:
+        files, at = _place(spark, x._cut)
+        files.delete(at, True)
+    return out
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

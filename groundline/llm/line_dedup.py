@@ -37,10 +37,10 @@ def dropped_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_
     ``keep_first``: of each key, the first line of the document with the smallest doc_id stays.
     """
     lines = named(docs).select("id", "th", F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("pos", "key"))
-    lines = lines.where(F.char_length("key") >= min_chars).select(*digest(F.col("key")), "id", "th", "pos")
+    lines = cut(lines.where(F.char_length("key") >= min_chars).select(*digest(F.col("key")), "id", "th", "pos"))  # else sampling the splitters would split all texts, too
     dealt = lines.repartitionByRange(parts(docs.sparkSession), "a", "b", "id", "th")
     stream = Window.partitionBy("a", "b", "id", "th").orderBy("pos")
-    marked = cut(dealt.withColumn("first", F.row_number().over(stream) == 1))
+    marked = cut(dealt.withColumn("first", F.row_number().over(stream) == 1), lines)
     place = F.struct("id", "th", "pos")
     often = marked.where("first").groupBy("a", "b").agg(F.count("*").alias("n_docs"), *[F.min(place).alias("earliest")] * keep_first)
     often = cut(often.where(F.col("n_docs") >= min_docs).drop("n_docs"))
