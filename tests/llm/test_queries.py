@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 
 import corpus_pipeline
-from groundline.llm import mixing, queries, simhash
+from groundline.llm import mixing, queries
 from groundline.llm.common import cut, documents
 
 from .test_operators import five_word_components, lines_brute, sha
@@ -39,20 +39,10 @@ def test_stages(spark):
     before = [(r.doc_id, r.text) for r in rows["quality classifier"]]
     assert Counter((r.doc_id, sha(r.text or "")) for r in rows["line dedup"]) == Counter((i, s) for i, _, _, s, _ in lines_brute(before))
     assert all(r.n_chars == len(r.text) for r in rows["line dedup"])
-    # one document of each group
-    prints = {r.doc_id: simhash.fingerprint((r.text or "").encode()) for r in rows["line dedup"]}
-    root = {i: i for i in prints}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in prints:
-        for b in prints:
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 3:
-                root[max(find(a), find(b))] = min(find(a), find(b))
-    assert sorted(r.doc_id for r in rows["near duplicates"]) == sorted({find(i) for i in prints})
+    # one document of each group of texts that share 0.8 of their five-word shingles
+    lined = sorted((r.doc_id, r.text) for r in rows["line dedup"])
+    label = five_word_components(lined)
+    assert sorted(r.doc_id for r in rows["near duplicates"]) == [i for k, (i, _) in enumerate(lined) if label[k] == k]
     # the mix, as often as it takes each document
     kept = spark.createDataFrame(rows["near duplicates"], documents(spark, SF).schema)
     times = {r.doc_id: r.times for r in mixing.mix(kept).collect()}
