@@ -7,6 +7,8 @@ import re
 from abc import ABC, abstractmethod
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from importlib import import_module
+from operator import attrgetter
 from typing import Any, NamedTuple, Protocol
 
 from ..config import config
@@ -67,7 +69,7 @@ class Provider(ABC):
 
 
 class ChatProvider(Provider):
-    """A chat client from ``options['client']``: a callable that takes (prompt, model, provider, **options). Made on the executor."""
+    """A chat client from ``options['client']``: a callable that takes (prompt, model, provider, **options), or its name as "module:name", which is imported where the model is asked, so that nothing but the name is sent there."""
 
     def infer(self, prompt: str) -> InferenceResult:
         options = dict(self.config.options)
@@ -75,6 +77,9 @@ class ChatProvider(Provider):
         if client is None:
             raise ProviderConfigError("the chat adapter needs a client")
         try:
+            if isinstance(client, str):
+                module, _, name = client.partition(":")
+                client = attrgetter(name)(import_module(module))
             raw = client(prompt, model=self.config.model, provider=self.config.provider, **options)
         except Exception as e:
             raise ProviderConfigError(f"provider failed: {e}") from e

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 from ..errors import IOFailure
 from ..operators.alignment import Taken, grounded
@@ -51,20 +51,24 @@ def highlights(extractions: Iterable[dict]) -> list[dict]:
     return out
 
 
+#: Markup of marks and sections: fixed values.
+MARK, SECTION = '<mark data-status="{}">{}<span class="label">{}</span></mark>', "<section>\n<h1>{}</h1>\n<pre>{}</pre>\n</section>\n"
+
+
 def marked(text: str, extractions: Iterable[dict]) -> str:
     """The escaped text with marks; line ends within a mark are left out."""
     parts, at = [], 0
     for x in highlights(extractions):
         s, e = x["char_interval"]["start_pos"], x["char_interval"]["end_pos"]
         label = next((v for v in (x["description"], x["extraction_class"]) if v is not None), "extraction")
-        mark = f'<mark data-status="{escaped(x["alignment_status"])}">{escaped(text[s:e])}<span class="label">{escaped(label)}</span></mark>'
+        mark = MARK.format(escaped(x["alignment_status"]), escaped(text[s:e]), escaped(label))
         parts += [escaped(text[at:s]), mark.replace("\n", "")]
         at = e
     return "".join([*parts, escaped(text[at:])])
 
 
 def section(doc_id: str | None, text: str, extractions: Iterable[dict]) -> str:
-    return f"<section>\n<h1>{escaped('Document' if doc_id is None else doc_id)}</h1>\n<pre>{marked(text, extractions)}</pre>\n</section>\n"
+    return SECTION.format(escaped("Document" if doc_id is None else doc_id), marked(text, extractions))
 
 
 def sections(annotated: DataFrame) -> DataFrame:
@@ -79,8 +83,21 @@ def sections(annotated: DataFrame) -> DataFrame:
     return annotated.select("doc_seq", "id", "text", "extractions").mapInArrow(run, "doc_seq long, html string")
 
 
-def visualize(source: DataFrame | str, spark: SparkSession | None = None) -> str:
-    """A self-contained page of annotated documents, or of a file of JSON lines; for what a browser can show."""
+def _of_value(value: Row | dict) -> str:
+    """The section of an annotated document that the driver has: a row, or an object as a JSON line holds it."""
+    if isinstance(value, Row):
+        value = value.asDict(recursive=True)
+    if "document" in value or "metadata_json" not in value:
+        value = jsonl.from_object(value)
+    return section(value["id"], value["text"] or "", value["extractions"] or [])
+
+
+def visualize(source: DataFrame | str | Row | dict | Iterable[Row | dict], spark: SparkSession | None = None) -> str:
+    """A self-contained page of annotated documents, of one or several that the driver has, or of a file of JSON lines; for what a browser can show."""
+    if isinstance(source, (Row, dict)):
+        source = [source]
+    if not isinstance(source, (str, DataFrame)):
+        return HEAD + "".join(map(_of_value, source)) + TAIL
     if isinstance(source, str):
         source = jsonl.load(spark or SparkSession.active(), source)
         if source.isEmpty():

@@ -142,6 +142,13 @@ def test_chat_adapter():
     asked = []
     model = g.create_model(g.ModelConfig(model="m", options={"client": lambda prompt, **kw: asked.append((prompt, kw)) or Answer(), "temperature": 0}))
     assert models.call(model, "p") == "hello" and asked == [("p", {"model": "m", "provider": None, "temperature": 0})]
+    assert g.create_model(g.ModelConfig(options={"client": "builtins:repr"})).config.options["client"] == "builtins:repr"
+    named = g.create_model(g.ModelConfig(model="m", provider="p", options={"client": "types:SimpleNamespace.__call__"}))
+    with pytest.raises(g.ProviderConfigError):
+        named.infer("p")  # no such callable: found out where the model is asked
+    with pytest.raises(g.ProviderConfigError):
+        g.create_model(g.ModelConfig(options={"client": "no_such_module:x"})).infer("p")
+    assert g.create_model(g.ModelConfig(model="m", provider="p", options={"client": "tests.test_formats:echo"})).infer("hi").text == "hi m p"
     for client in (None, lambda prompt, **kw: 1 / 0):
         with pytest.raises(g.ProviderConfigError):
             g.create_model(g.ModelConfig(options={"client": client} if client else {})).infer("p")
@@ -155,3 +162,7 @@ def test_models_must_infer():
     assert models.call(g.ReplayModel({"p": "q"}), "p") == "q"
     with pytest.raises(g.ProviderConfigError):
         g.ReplayModel({}).infer("p")
+
+
+def echo(prompt, model, provider):
+    return f"{prompt} {model} {provider}"
