@@ -1,4 +1,11 @@
-"""A bounded sample of labelled rows with their texts, for the operators that learn."""
+"""A bounded sample of labelled rows with their texts, for the operators that learn.
+
+What reaches the driver is the features of at most ``most`` texts, not the texts.
+
+Edge cases: a label without a document, a null label, and a null doc_id in either table are
+left out; a doc_id that repeats counts once, with its smallest label and text; a null text
+is an empty one; other columns are ignored; without labels or documents there is no row.
+"""
 
 from __future__ import annotations
 

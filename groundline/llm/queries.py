@@ -82,7 +82,8 @@ ORACLE_SQL: dict[str, str] = {
         FROM keyed LEFT JOIN often ON keyed.k = often.k GROUP BY doc_id""",
     "op4_source_mix": r"""
         WITH d AS (
-          SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+          SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS name,
+                 coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
                  CASE WHEN length(text) > 0 THEN 2 - length(regexp_replace(text, '[\p{L}\x20\x09-\x0D]+', '', 'g')) / length(text)::DOUBLE ELSE 1.0 END AS quality
           FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
@@ -96,7 +97,7 @@ ORACLE_SQL: dict[str, str] = {
         e AS (
           SELECT doc_id, size, source_size, target,
                  CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole,
-                 coalesce(sum(size) OVER (PARTITION BY t.source ORDER BY pow((('0x' || substr(md5(doc_id::VARCHAR), 1, 12))::BIGINT + 1) / 281474976710656.0::DOUBLE, 1 / quality) DESC, doc_id
+                 coalesce(sum(size) OVER (PARTITION BY t.source ORDER BY pow((('0x' || substr(name, 1, 12))::BIGINT + 1) / 281474976710656.0::DOUBLE, 1 / quality) DESC, doc_id
                           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far
           FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
         b AS (SELECT *, target - whole * source_size AS budget FROM e)
