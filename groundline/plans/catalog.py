@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import similarity_column
 from ..functions.textops import WS
-from ..operators import alignment, chunks, merging, parsing, prompts, tokens
+from ..operators import alignment, chunks, merging, models, parsing, prompts, tokens
 from ..operators.models import ConstantModel, RegexModel
 from ..sources import documents, html, jsonl
 from . import pipeline
@@ -215,10 +215,19 @@ def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fuzzy_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Misspelt names, twice, so that the second finds the first's place taken; an accent composed otherwise; a brand as it is."""
+    return _fuzzy_parts(spark, sf_dir)
+
+
+def fuzzy_parts_ws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by another tokenizer and threshold."""
+    return _fuzzy_parts(spark, sf_dir, tokenizer=tokens.NON_SPACE_TOKENS, threshold=0.7)
+
+
+def _fuzzy_parts(spark: SparkSession, sf_dir: str, **kept) -> DataFrame:
     docs = _parts(spark, sf_dir)
     name = F.regexp_extract("text", "^(.*) of ", 1)
     items = _items(docs, F.translate(name, "aei", "xxx"), F.translate(name, "ou", "yy"), F.lit("CAF\u00c9"), F.regexp_extract("text", ", (.*) ", 1), F.concat(F.lit("the "), name))
-    rows = pipeline.extraction_rows(alignment.annotate(docs, items))
+    rows = pipeline.extraction_rows(alignment.annotate(docs, items, **kept))
     return rows.select("doc_seq", "extraction_index", "text", "alignment_status", F.col("char_interval.start_pos").alias("start_pos"), F.col("char_interval.end_pos").alias("end_pos"))
 
 
@@ -273,6 +282,41 @@ def extract_regex_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_seq", "extraction_class", "text", "alignment_status", F.col("char_interval.start_pos").alias("start_pos"), F.col("char_interval.end_pos").alias("end_pos"))
 
 
+class _ByPattern(models.Provider):
+    """An adapter of the tests: the pattern is an option."""
+
+    def infer(self, prompt: str) -> models.InferenceResult:
+        return RegexModel({"email": self.config.options["pattern"]}).infer(prompt)
+
+
+def extract_by_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``extract_regex_model`` with a model that the router makes from its configuration, whose answers are written first; one pass."""
+    models.router().register("pattern", _ByPattern)
+    model = models.create_model(models.ModelConfig(adapter="pattern", model="m", options={"pattern": EMAIL}))
+    docs = _docs(spark, sf_dir)
+    outputs = pipeline.model_outputs(docs, model, TASK, prompt_validation="off")
+    rows = pipeline.extraction_rows(pipeline.extract_from_outputs(docs, outputs))
+    return rows.select("doc_seq", "extraction_class", "text", "alignment_status", F.col("char_interval.start_pos").alias("start_pos"), F.col("char_interval.end_pos").alias("end_pos"))
+
+
+#: Driver values: objects with and without an id, a plain value and a number.
+VALUES = ({"id": "a", "text": "one text", "metadata": {"k": 1}}, {"text": "no id"}, "a plain text", 7)
+
+
+def source_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of driver values, and one of a text."""
+    one = documents.from_text(spark, "only text").withColumn("doc_seq", F.col("doc_seq") - 1)
+    return documents.from_values(spark, VALUES).union(one)
+
+
+def page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole page of the regions, each with a mark, line by line."""
+    docs = documents.from_table(_table(spark, sf_dir, "region"), seq="r_regionkey", text="r_name")
+    annotated = alignment.annotate(docs, _items(docs, F.substring("text", 1, 3)), threshold=1.01)
+    lines = html.visualize(annotated).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line int, html string")
+
+
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).withColumn("extractions", F.array().cast("array<string>"))
     annotated = alignment.annotate(docs.drop("extractions"), _items(docs, F.substring("text", 1, 5)), threshold=1.01)
@@ -303,8 +347,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         tokens_ws, tokens_unicode, tokens_unicode_native, token_counts_by_lang, sentences, sentences_native, chunks_2000, chunks_200, chunk_token_spans, prompt_context, prompt_examples, example_issues,
-        fenced_payloads, parse_json_items, json_items_native, parse_forms, parse_failures, schema_violations, schema_types, exact_all_occurrences, exact_first_ci, overlap_status, overlap_status_fuzzy, token_intervals, fuzzy_parts, similarity_pairs,
-        annotate_counts_by_status, fuzzy_align, merge_distinct, merge_greedy, merge_regroup, extract_regex_model, extract_lenient, jsonl_roundtrip, render_marks, render_clashing_marks,
+        fenced_payloads, parse_json_items, json_items_native, parse_forms, parse_failures, schema_violations, schema_types, exact_all_occurrences, exact_first_ci, overlap_status, overlap_status_fuzzy, token_intervals, fuzzy_parts, fuzzy_parts_ws, similarity_pairs,
+        annotate_counts_by_status, fuzzy_align, merge_distinct, merge_greedy, merge_regroup, extract_regex_model, extract_by_adapter, extract_lenient, source_values, jsonl_roundtrip, render_marks, render_clashing_marks, page,
     )
 }
 
@@ -422,9 +466,10 @@ def _normal(x: str) -> str:
     return f"trim(regexp_replace(lower(nfc_normalize({x})), '[{WS}]+', ' ', 'g'))"
 
 
-#: The items of ``fuzzy_parts``: exact, without case, then windows at tokens by their similarity; each in the first place that no earlier item took.
-_FUZZY = rf"""
-        token AS ({_token_sql(_U)}),
+def _fuzzy(pattern: str, threshold: float) -> str:
+    """The items of ``fuzzy_parts``: exact, without case, then windows at tokens by their similarity; each in the first place that no earlier item took."""
+    return rf"""
+        token AS ({_token_sql(pattern)}),
         item AS (
           SELECT doc_id AS doc_seq, text, unnest([translate(p_name, 'aei', 'xxx'), translate(p_name, 'ou', 'yy'), 'CAF' || chr(201), p_brand, 'the ' || p_name]) AS t, unnest(range(0, 5)) AS k FROM documents),
         plain AS (
@@ -434,9 +479,9 @@ _FUZZY = rf"""
           SELECT p.doc_seq, k, {_normal("t")} AS goal, p.text, o.start_pos AS s, unnest(range(o.start_pos + shortest, least(o.start_pos + longest, length(p.text)) + 1)) AS e
           FROM plain p JOIN token o ON o.doc_seq = p.doc_seq WHERE len(exact) = 0 AND ci < 0),
         win AS (SELECT doc_seq, k, goal, s, e, {_normal("substr(text, s + 1, e - s)")} AS w FROM spans),
-        pairs AS (SELECT DISTINCT goal AS a, w AS b FROM win WHERE 2.0::DOUBLE * least(length(goal), length(w)) / (length(goal) + length(w)) >= 0.78::DOUBLE),
+        pairs AS (SELECT DISTINCT goal AS a, w AS b FROM win WHERE 2.0::DOUBLE * least(length(goal), length(w)) / (length(goal) + length(w)) >= {threshold}::DOUBLE),
         {_SIMILAR},
-        near AS (SELECT doc_seq, k, list({{'s': s::BIGINT, 'e': e::BIGINT}} ORDER BY r DESC, s, e) AS p FROM win JOIN matched ON goal = a AND w = b WHERE r >= 0.78::DOUBLE GROUP BY doc_seq, k),
+        near AS (SELECT doc_seq, k, list({{'s': s::BIGINT, 'e': e::BIGINT}} ORDER BY r DESC, s, e) AS p FROM win JOIN matched ON goal = a AND w = b WHERE r >= {threshold}::DOUBLE GROUP BY doc_seq, k),
         places AS (
           SELECT x.doc_seq, x.k, t, CASE WHEN len(exact) > 0 OR ci >= 0 THEN 'exact' ELSE 'fuzzy' END AS st,
                  CASE WHEN len(exact) > 0 THEN list_transform(exact, lambda i: {{'s': i, 'e': i + length(t)}}) WHEN ci >= 0 THEN [{{'s': ci, 'e': ci + length(t)}}] ELSE coalesce(near.p, []) END AS p
@@ -453,8 +498,17 @@ _FUZZY = rf"""
                ELSE {{'s': x.p[1].s, 'e': x.p[1].e, 'st': 'overlap'}} END)}},
             {{'p': []::STRUCT(s BIGINT, e BIGINT)[], 'st': '', 'taken': []::STRUCT(s BIGINT, e BIGINT)[], 'out': []::STRUCT(s BIGINT, e BIGINT, st VARCHAR)[]}}).out AS l FROM places GROUP BY doc_seq)"""
 
+_FOLDED = "SELECT doc_seq, (generate_subscripts(l, 1) - 1)::INT AS extraction_index, unnest(t) AS text, unnest(l).st AS alignment_status, unnest(l).s::INT AS start_pos, unnest(l).e::INT AS end_pos FROM folded"
+
 _ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
 
+_EMAILS = rf"""
+        WITH m AS (
+          SELECT doc_id AS doc_seq, unnest(regexp_extract_all(text, '(?s)(.*?)({EMAIL})', 1)) AS gap, unnest(regexp_extract_all(text, '(?s)(.*?)({EMAIL})', 2)) AS text,
+                 generate_subscripts(regexp_extract_all(text, '(?s)(.*?)({EMAIL})', 2), 1) AS i FROM documents),
+        o AS (SELECT *, sum(length(gap) + length(text)) OVER (PARTITION BY doc_seq ORDER BY i) AS e FROM m)
+        SELECT doc_seq, 'email' AS extraction_class, text, 'exact' AS alignment_status, (e - length(text))::INT AS start_pos, e::INT AS end_pos FROM o"""
+
 ORACLE_SQL: dict[str, str] = {
     "tokens_ws": _token_sql(tokens.NON_SPACE),
     "tokens_unicode": _token_sql(_U),
@@ -505,8 +559,8 @@ ORACLE_SQL: dict[str, str] = {
     "token_intervals": f"""WITH {_ALIGNED}, token AS ({_token_sql(_U)})
         SELECT a.doc_seq, a.extraction_index, min(t."index")::INT AS tok_start, (max(t."index") + 1)::INT AS tok_end
         FROM aligned a LEFT JOIN token t ON t.doc_seq = a.doc_seq AND t.start_pos < a.start_pos + length(a.text) AND a.start_pos < t.end_pos GROUP BY a.doc_seq, a.extraction_index""",
-    "fuzzy_parts": f"""WITH RECURSIVE {_PARTS}, {_FUZZY}
-        SELECT doc_seq, (generate_subscripts(l, 1) - 1)::INT AS extraction_index, unnest(t) AS text, unnest(l).st AS alignment_status, unnest(l).s::INT AS start_pos, unnest(l).e::INT AS end_pos FROM folded""",
+    "fuzzy_parts": f"WITH RECURSIVE {_PARTS}, {_fuzzy(_U, alignment.THRESHOLD)} {_FOLDED}",
+    "fuzzy_parts_ws": f"WITH RECURSIVE {_PARTS}, {_fuzzy(tokens.NON_SPACE, 0.7)} {_FOLDED}",
     "similarity_pairs": f"""WITH RECURSIVE names AS (SELECT p_partkey, p_name AS a, translate(p_name, 'aeioulr', 'eiouarl') || ' ' || lower(p_type) AS b FROM part),
         pairs AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM names UNION ALL SELECT b, a FROM names)), {_SIMILAR}
         SELECT p_partkey, x.r AS forth, y.r AS back FROM names n JOIN matched x ON x.a = n.a AND x.b = n.b JOIN matched y ON y.a = n.b AND y.b = n.a""",
@@ -515,13 +569,16 @@ ORACLE_SQL: dict[str, str] = {
     "merge_distinct": f"WITH {_SPANS}, {_FIRST} SELECT * FROM firsts",
     "merge_greedy": f"WITH {_SPANS}, {_FIRST}, {_greedy('firsts')} SELECT doc_seq, unnest(l).seq AS seq, unnest(l).s AS start_pos, unnest(l).e AS end_pos FROM kept",
     "merge_regroup": f"WITH {_SPANS}, {_greedy('spans')} SELECT c_custkey::BIGINT AS doc_seq, coalesce(len(l), 0)::BIGINT AS n FROM customer LEFT JOIN kept ON c_custkey = doc_seq",
-    "extract_regex_model": rf"""
-        WITH m AS (
-          SELECT doc_id AS doc_seq, unnest(regexp_extract_all(text, '(?s)(.*?)({EMAIL})', 1)) AS gap, unnest(regexp_extract_all(text, '(?s)(.*?)({EMAIL})', 2)) AS text,
-                 generate_subscripts(regexp_extract_all(text, '(?s)(.*?)({EMAIL})', 2), 1) AS i FROM documents),
-        o AS (SELECT *, sum(length(gap) + length(text)) OVER (PARTITION BY doc_seq ORDER BY i) AS e FROM m)
-        SELECT doc_seq, 'email' AS extraction_class, text, 'exact' AS alignment_status, (e - length(text))::INT AS start_pos, e::INT AS end_pos FROM o""",
-    "jsonl_roundtrip": "SELECT doc_id::VARCHAR AS id, text, 1 AS n_extractions, lang FROM documents",
+    "extract_regex_model": _EMAILS,
+    "extract_by_adapter": _EMAILS,
+    "source_values": """
+        SELECT -1::BIGINT AS doc_seq, 'document_0' AS id, 'only text' AS text, '{}' AS metadata_json UNION ALL SELECT 0, 'a', 'one text', '{"k": 1}' UNION ALL SELECT 1, NULL, 'no id', '{}'
+        UNION ALL SELECT 2, 'document_2', 'a plain text', '{}' UNION ALL SELECT 3, 'document_3', '7', '{}'""",
+    "page": f"""
+        WITH s AS (SELECT string_agg('<section>' || chr(10) || '<h1>' || r_regionkey || '</h1>' || chr(10) || '<pre><mark data-status="exact">' || substr(r_name, 1, 3) || '<span class="label">extraction</span></mark>'
+                    || substr(r_name, 4) || '</pre>' || chr(10) || '</section>' || chr(10), '' ORDER BY r_regionkey) AS body FROM region),
+        l AS (SELECT string_split('{_quoted(html.HEAD)}' || body || '{_quoted(html.TAIL)}', chr(10)) AS x FROM s)
+        SELECT (generate_subscripts(x, 1) - 1)::INT AS line, unnest(x) AS html FROM l""",
     "extract_lenient": "SELECT doc_id AS doc_seq, 0::BIGINT AS n_extractions, 2::BIGINT AS n_runs FROM documents",
     "render_clashing_marks": f"""
         WITH {_PARTS}, p AS (SELECT *, strpos(text, ' of ') AS a, strpos(text, p_brand) AS b FROM documents)
