@@ -2,7 +2,8 @@
 
 Every step is two aggregations and a join over the links, written to the shared folder;
 nothing is gathered on the driver but a count and a checksum for each round. A node with
-very many neighbours is a skewed join key, which adaptive execution splits.
+very many neighbours is a skewed join key, which adaptive execution splits; it only does so
+where a join reads shuffles directly, so the minima that are joined are written first.
 """
 
 from __future__ import annotations

@@ -11,15 +11,18 @@ discards the pairs whose coordinates differ by more than 3 anywhere (triangle
 inequality; the bucket is swept in the order of the first coordinate), and the survivors
 are verified by their real distance. b follows the number of fingerprints (4 to 6), so
 buckets stay small at any size. A bucket that is large all the same is divided again, by
-the blocks of the bits outside its key, before pairs are formed. Each task returns a
-spanning forest of the links it has verified, never all pairs of a group.
+the blocks of the bits outside its key, before pairs are formed. A crowd (more than
+``CROWD`` in a bucket) leaves its task: it is dealt anew by cells of the first ``AXES``
+coordinates of its pivot table, ``CELL`` wide and overlapping by the tolerance, so that
+every pair that the table doesn't discard shares a cell. Each task returns a spanning
+forest of the links it has verified, never all pairs of a group.
 
-Components are then found by star contraction (``components``).
+Components of fingerprints are then found by star contraction (``components``), and each
+takes its smallest doc_id.
 
 Edge cases: a text without words (null, empty) has fingerprint zero and is linked like
 any other; fewer words than a shingle has make one shingle; a null doc_id ranks last,
-so component_id is null only where a component has no other (doc_ids lie below 2**62);
-rows that repeat a doc_id share a component only if their texts are linked, or other
+so component_id is null only where a component has no other; doc_ids are any longs; rows that repeat a doc_id share a component only if their texts are linked, or other
 texts link both; other columns are ignored; an empty table gives an empty result.
 """
 
@@ -40,9 +43,9 @@ from .components import components
 from .units import named
 
 SHINGLE, MOST, PIVOTS = 3, 3, 48
-NO_ID = 1 << 62
-#: Fingerprints of a bucket above which it is divided again.
-LARGE = 512
+#: Fingerprints of a bucket above which it is divided again, and above which it is a crowd.
+LARGE, CROWD = 512, 1 << 13
+AXES, CELL = 4, 4
 #: Pairs whose links are reduced to a forest at once.
 PAIRS = 1 << 20
 
@@ -110,13 +113,12 @@ def _deal(masks: np.ndarray, parts_: int):
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy().view(np.uint64)
-            rep = batch.column("rep").to_numpy()
             at = [(_spread((fp & m) + np.uint64(k + 1)) % np.uint64(parts_)).astype(np.int64) for k, m in enumerate(masks)]
             to, which, i = np.concatenate(at), np.repeat(np.arange(len(masks)), len(fp)), np.tile(np.arange(len(fp)), len(masks))
             order = np.argsort(to, kind="stable")
             to, which, i = to[order], which[order].astype(np.uint8), i[order]
             edge = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else []
-            rows = [(int(to[s]), which[s:e].tobytes() + fp[i[s:e]].tobytes() + rep[i[s:e]].tobytes()) for s, e in zip(edge, [*edge[1:], len(to)], strict=True)]
+            rows = [(int(to[s]), which[s:e].tobytes() + fp[i[s:e]].tobytes()) for s, e in zip(edge, [*edge[1:], len(to)], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["part", "blob"])
 
     return deal
@@ -137,10 +139,11 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class _Links:
-    """Verified links of one task, reduced to a forest again and again."""
+    """Verified links of one task, reduced to a forest again and again; numbers of pairs that were met in a bucket, that the pivots left, and that are links."""
 
     def __init__(self, n: int):
         self.n, self.kept, self.size = n, [], 0
+        self.met = self.left = self.linked = 0
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         self.kept.append((a, b))
@@ -171,19 +174,27 @@ def _sweep(bucket: np.ndarray, i: np.ndarray, fp: np.ndarray, table: np.ndarray,
         here, there = here[near], there[near]
         for at in range(0, len(here), PAIRS):
             a, b = i[here[at : at + PAIRS]], i[there[at : at + PAIRS]]
+            links.met += len(a)
             for lo, hi in ((1, 4), (4, 16), (16, PIVOTS)):
                 # unsigned: a difference of -3 to 3 is at most 6 after adding 3
                 ok = ((table[a, lo:hi] - table[b, lo:hi] + np.uint8(MOST)) <= 2 * MOST).all(1)
                 a, b = a[ok], b[ok]
             ok = np.bitwise_count(fp[a] ^ fp[b]) <= MOST
+            links.left += len(a)
+            links.linked += int(ok.sum())
             if ok.any():
                 links.add(a[ok], b[ok])
         lag += 1
 
 
-def _search(which: np.ndarray, fp: np.ndarray, masks: np.ndarray, links: _Links, index: np.ndarray, distinct: np.ndarray) -> None:
-    """All links between entries that share a bucket; ``index`` says which distinct fingerprint an entry is."""
-    table = np.bitwise_count(distinct[:, None] ^ _pivots()[None, :]).astype(np.uint8)
+def _table(fp: np.ndarray, pivots: int = PIVOTS) -> np.ndarray:
+    """Hamming distances to the pivots."""
+    return np.bitwise_count(fp[:, None] ^ _pivots()[None, :pivots]).astype(np.uint8)
+
+
+def _search(which: np.ndarray, fp: np.ndarray, masks: np.ndarray, links: _Links, index: np.ndarray, distinct: np.ndarray) -> list[np.ndarray]:
+    """All links between entries that share a bucket; ``index`` says which distinct fingerprint an entry is. Returns the crowds, which aren't searched."""
+    table = _table(distinct)
     value = fp & masks[which]
     order = np.lexsort((value, which))
     which, value, index = which[order], value[order], index[order]
@@ -194,9 +205,15 @@ def _search(which: np.ndarray, fp: np.ndarray, masks: np.ndarray, links: _Links,
     small = (size[bucket] > 1) & (size[bucket] <= LARGE)
     if small.any():
         _sweep(bucket[small], index[small], distinct, table, links)
+    ends = np.cumsum(size)
+    crowds = []
     for k in np.flatnonzero(size > LARGE):
-        mine = np.flatnonzero(bucket == k)
-        _divided(index[mine], ~masks[which[mine[0]]], distinct, table, links)
+        mine = np.arange(ends[k] - size[k], ends[k])
+        if size[k] > CROWD:
+            crowds.append(distinct[index[mine]])
+        else:
+            _divided(index[mine], ~masks[which[mine[0]]], distinct, table, links)
+    return crowds
 
 
 def _divided(i: np.ndarray, free: np.uint64, fp: np.ndarray, table: np.ndarray, links: _Links) -> None:
@@ -210,43 +227,82 @@ def _divided(i: np.ndarray, free: np.uint64, fp: np.ndarray, table: np.ndarray,
             _sweep(bucket[keep], i[keep], fp, table, links)
 
 
+LINKS = "crowd long, u long, v long"
+
+
 def _linked(masks: np.ndarray):
+    """Links (u, v) between fingerprints, and the members u of crowds."""
+
     def linked(table: pa.Table) -> pa.Table:
         got = [x.as_py() for x in table.column("blob")]
-        size = [len(x) // 17 for x in got]
+        size = [len(x) // 9 for x in got]
         which = np.concatenate([np.frombuffer(x, np.uint8, n) for x, n in zip(got, size, strict=True)])
         fp = np.concatenate([np.frombuffer(x, np.uint64, n, n) for x, n in zip(got, size, strict=True)])
-        rep = np.concatenate([np.frombuffer(x, np.int64, n, 9 * n) for x, n in zip(got, size, strict=True)])
-        distinct, at, index = np.unique(fp, return_index=True, return_inverse=True)
-        rep = rep[at]
+        distinct, index = np.unique(fp, return_inverse=True)
         links = _Links(len(distinct))
-        _search(which, fp, masks, links, index, distinct)
-        root = links.reduce()
-        own = np.flatnonzero(root != np.arange(len(root)))
-        return pa.table({"u": pa.array(rep[own]), "v": pa.array(rep[root[own]])})
+        crowds = _search(which, fp, masks, links, index, distinct)
+        return _result(links, distinct, crowds, table.column("part")[0].as_py())
 
     return linked
 
 
+def _result(links: _Links, fp: np.ndarray, crowds: list[np.ndarray], part: int) -> pa.Table:
+    root = links.reduce()
+    own = np.flatnonzero(root != np.arange(len(root)))
+    many = [len(x) for x in crowds]
+    crowd = np.repeat(part * (1 << 20) + np.arange(len(crowds)), many)
+    u = np.concatenate([fp[own], *crowds]).view(np.int64)
+    no = np.zeros(len(own), np.int64)
+    return pa.table({"crowd": pa.array(np.concatenate([no, crowd]), pa.int64(), mask=np.arange(len(u)) < len(own)), "u": pa.array(u), "v": pa.array(np.concatenate([fp[root[own]].view(np.int64), np.zeros(sum(many), np.int64)]), pa.int64(), mask=np.arange(len(u)) >= len(own))})
+
+
+def cells(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, index): the cells of each fingerprint; two that no coordinate on the axes sets further apart than ``MOST`` share one."""
+    place = _table(fp, AXES).astype(np.int64)
+    cell, index = np.zeros(len(fp), np.int64), np.arange(len(fp))
+    for k in range(AXES):
+        x = place[index, k]
+        more = x % CELL >= CELL - MOST  # the next cell begins MOST before its first place
+        cell = np.concatenate([cell * 64 + x // CELL, (cell * 64 + x // CELL + 1)[more]])
+        index = np.concatenate([index, index[more]])
+    return cell, index
+
+
+def _to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fp = batch.column("u").to_numpy().view(np.uint64)
+        cell, index = cells(fp)
+        yield pa.RecordBatch.from_arrays([pa.array(batch.column("crowd").to_numpy()[index]), pa.array(cell), pa.array(fp[index].view(np.int64))], names=["crowd", "cell", "u"])
+
+
+def _within(table: pa.Table) -> pa.Table:
+    fp = np.unique(table.column("u").to_numpy().view(np.uint64))
+    links, i = _Links(len(fp)), np.arange(len(fp))
+    _sweep(np.zeros(len(fp), np.int64), i, fp, _table(fp), links)
+    out = _result(links, fp, [], 0)
+    return out.select(["u", "v"])
+
+
 def _labels(rows: DataFrame) -> DataFrame:
-    """f and component_id (NO_ID or more without a doc_id) of each fingerprint of ``rows`` (doc_id, fp)."""
+    """f, root (a number of its component) and component_id of each fingerprint of ``rows`` (doc_id, fp)."""
     n = parts(rows.sparkSession)
-    # a node is the smallest doc_id of its fingerprint; without one, 61 of its bits (those that share them are near anyway)
-    nameless = F.lit(NO_ID) + F.col("fp").bitwiseAND(F.lit((1 << 61) - 1))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", F.coalesce("least", nameless).alias("rep")))
+    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     masks = keys(blocks_for(distinct.count()))
-    dealt = distinct.mapInArrow(_deal(masks, 4 * n), DEALT)
-    links = dealt.groupBy("part").applyInArrow(_linked(masks), "u long, v long").distinct()
-    found = components(links)
-    return cut(distinct.join(found, distinct["rep"] == found["node"], "left").select(F.col("fp").alias("f"), F.coalesce("root", "rep").alias("component_id")))
+    dealt = distinct.select("fp").mapInArrow(_deal(masks, 4 * n), DEALT)
+    found = cut(dealt.groupBy("part").applyInArrow(_linked(masks), LINKS))
+    crowds = found.where("crowd is not null").mapInArrow(_to_cells, "crowd long, cell long, u long")
+    links = found.where("crowd is null").select("u", "v").union(crowds.groupBy("crowd", "cell").applyInArrow(_within, "u long, v long"))
+    rooted = distinct.join(components(links.distinct()), F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = cut(rooted, found)
+    ids = rooted.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
+    return cut(rooted.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "root", "component_id"), rooted, distinct)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for each row."""
     rows = cut(fingerprints(docs))
     labels = _labels(rows)
-    joined = rows.join(labels, rows["fp"] == labels["f"])
-    return joined.select("doc_id", "fp", F.when(F.col("component_id") < NO_ID, F.col("component_id")).alias("component_id"))
+    return rows.join(labels, rows["fp"] == labels["f"]).select("doc_id", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
@@ -260,9 +316,8 @@ def representatives(docs: DataFrame, shingle: int = SHINGLE, similarity: float |
     if shingle != SHINGLE:
         raise ValueError(f"fingerprints are of {SHINGLE} words; other shingles need a similarity")
     prints = cut(fingerprints(named(docs).select(F.col("id").alias("doc_id"), "text", "th"), "th"))
-    # nodes are named by 61 bits of the fingerprint, since a doc_id can be null or have several texts
-    labels = _labels(prints.select(F.col("fp").bitwiseAND(F.lit((1 << 61) - 1)).alias("doc_id"), "fp"))
-    return _firsts(docs, cut(prints.join(labels, prints["fp"] == labels["f"]).select(F.col("doc_id").alias("id"), "th", F.col("component_id").alias("component"))))
+    labels = _labels(prints)
+    return _firsts(docs, cut(prints.join(labels, prints["fp"] == labels["f"]).select(F.col("doc_id").alias("id"), "th", F.col("root").alias("component"))))
 
 
 def _firsts(docs: DataFrame, found: DataFrame) -> DataFrame:
