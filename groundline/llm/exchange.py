@@ -1,8 +1,9 @@
 """How chunks of documents learn which of their keys other documents have, without moving texts.
 
 Texts are dealt to chunks once. A chunk sends five bytes for each distinct key to the
-key's bucket and gets one bit back: whether two documents have it. Equal short keys are
-only candidates; what is sent next is compared in full.
+key's bucket and gets two bits back: whether two documents have it, and whether it is hot
+(``HOT`` chunks or more have it). Equal short keys are only candidates; what is sent next
+is compared in full.
 
 The number of chunks follows the bytes of text, that of buckets the session's shuffle
 partitions. A key that all documents have costs its bucket one entry for each chunk.
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import NULL_ID, prepared
 
 BLOBS = "bucket long, chunk long, blob binary"
+HOT = 64
 
 
 def dealt(docs: DataFrame, chunk_bytes: int, *more: str) -> DataFrame:
@@ -105,7 +107,7 @@ def send_keys(keys_of, buckets: int):
 
 
 def common(table: pa.Table) -> pa.Table:
-    """Which keys of each chunk two documents have: one bit each, in the chunk's order."""
+    """Which keys of each chunk two documents have, and which are hot: one bit each, in the chunk's order."""
     bucket = table.column("bucket")[0].as_py()
     chunks, lows, multis = table.column("chunk").to_pylist(), [], []
     for blob in table.column("blob"):
@@ -119,15 +121,17 @@ def common(table: pa.Table) -> pa.Table:
     _, at, seen = np.unique(low, return_inverse=True, return_counts=True)
     often = seen > 1
     often[at[multi]] = True
-    flags = np.split(often[at], np.cumsum([len(x) for x in lows])[:-1])
-    return rows_of(BLOBS, bucket=[bucket] * len(chunks), chunk=chunks, blob=[np.packbits(x).tobytes() for x in flags])
+    edges = np.cumsum([len(x) for x in lows])[:-1]
+    flags = zip(np.split(often[at], edges), np.split((seen >= HOT)[at], edges), strict=True)
+    return rows_of(BLOBS, bucket=[bucket] * len(chunks), chunk=chunks, blob=[np.packbits(np.concatenate(x)).tobytes() for x in flags])
 
 
-def recurring(key: np.ndarray, buckets: int, answers: pa.Table) -> np.ndarray:
-    """Which distinct keys of a chunk two documents have, from the answers (bucket, blob) to it."""
-    out = np.zeros(len(key), bool)
+def recurring(key: np.ndarray, buckets: int, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Which distinct keys of a chunk two documents have, and which are hot, from the answers (bucket, blob) to it."""
+    out, hot = np.zeros(len(key), bool), np.zeros(len(key), bool)
     bits = {b: blob.as_py() for b, blob in zip(answers.column("bucket").to_pylist(), answers.column("blob"), strict=True)}
     for b, x in sorted_places(key, buckets):
         if b in bits:
-            out[x] = np.unpackbits(np.frombuffer(bits[b], np.uint8))[: len(x)].astype(bool)
-    return out
+            flags = np.unpackbits(np.frombuffer(bits[b], np.uint8))[: 2 * len(x)].astype(bool)
+            out[x], hot[x] = flags[: len(x)], flags[len(x) :]
+    return out, hot

@@ -103,7 +103,7 @@ def _send_units(min_words: int, buckets: int):
         if left.num_rows and right.num_rows:
             chunk, c = left.column("chunk")[0].as_py(), Chunk(left, min_words)
             key, _ = distinct_keys(c.key, c.owner)
-            often = recurring(key, buckets, right)
+            often, _ = recurring(key, buckets, right)
             if often.any():
                 g = _groups(c, often, key)
                 rows = [(b, packed(g.high[x], g.low[x], g.least[x], g.most[x] - g.least[x]), None) for b, x in split(bucket_of(g.high, buckets))]

@@ -1,26 +1,30 @@
-"""Substring dedup on bytes by sparse suffix arrays (operator 1).
+"""Substring dedup on bytes by suffix arrays (operator 1).
 
 A byte goes if a ``WIDTH``-byte string over it also starts in a document with a smaller
 doc_id. Equal windows of WIDTH bytes have an equal anchor (the smallest hash among their
 ``GRAM``-byte grams), so only windows whose anchor occurs in two documents can match:
 
 1. every chunk of documents sends the distinct anchors it has (a few bytes each, to the
-   anchor's bucket) and learns which of them other documents have too;
+   anchor's bucket) and learns which of them other documents have too (``exchange``);
 2. it sends the text of the maximal runs of windows under these anchors, each distinct
-   run once with its smallest doc_id, so a run that a third of all documents have costs
-   a bucket one record per chunk;
-3. the bucket feeds the windows of all runs, ordered by doc_id, to a logarithmic family
-   of suffix arrays (``suffix_index.LogIndex``) that compares whole windows, and answers
-   with the smallest doc_id for each stretch of windows;
+   run once with its smallest and largest doc_id, so a run that a third of all documents
+   have costs a bucket one record per chunk;
+3. the bucket feeds the windows of all distinct runs, by ascending doc_id and a bounded
+   batch at a time, to a logarithmic family of suffix arrays (``suffix_index.LogIndex``),
+   which compares whole windows, and answers with the smallest doc_id for each stretch of
+   windows;
 4. the chunk marks the covered bytes.
 
-Whole runs are told apart by a 64-bit hash of their content: equal runs are reduced by it
-in steps 2 and 3, a run whose anchor has no second content meets its copies by it alone
-and never enters the index, and step 4 finds the runs of an answer by it. Of m different
-runs that meet, two have one hash with a probability of about m²/2^65 (m = 10^6: 3 in
-10^8), taking the hash as random; only then could bytes go or stay wrongly.
+An anchor that very many chunks have (a common phrase amid different words) is divided by
+what is around it: windows that have it at one of eight neighbouring places share 43 bytes,
+so their runs go to the bucket of these bytes, instead of all to the anchor's.
 
-Texts never leave their chunk: one shuffle of texts serves all three visits.
+Runs are equal if their lengths and 128 bits of hashes are; of m different runs, two are
+taken for one with a probability of about m²/2^129 (m = 10^12: 10^-15). All else is
+compared by bytes. Texts never leave their chunk: one shuffle of texts serves all visits.
+
+``earlier`` documents rank before all others, whatever their doc_ids: a new batch is
+deduplicated against what has been accepted before, and only its rows are returned.
 
 Edge cases: null or empty texts have no windows (kept as empty); a null doc_id ranks
 after all others; rows that share a doc_id never remove each other's bytes and each
@@ -31,50 +35,56 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, parts, prepared
+from .common import parts
+from .exchange import BLOBS, bucket_of, buffers, common, dealt, distinct_keys, owners, packed, recurring, rows_of, send_keys, split, unpacked
+from .rolling import Rolling, mixed, slid
 from .suffix_index import LogIndex
 
 WIDTH, GRAM = 50, 20
-#: Bytes of text that a chunk should have before chunks get more numerous than shuffle partitions.
-CHUNK_BYTES, MOST_CHUNKS = 4 << 20, 4
+#: Bytes of text of a chunk; kernels need about 100 times as much memory. There are as many chunks as it takes.
+CHUNK_BYTES = 2 << 20
+#: Buckets of anchors for each of the session's shuffle partitions.
+BUCKETS = 2
+#: Places of an anchor in a window that go together when it is divided.
+PLACES = 8
+#: Windows that are indexed at once.
+BATCH = 1 << 18
 _rng = np.random.default_rng(20240607)
-_A, _B, _C, _BASE = (np.uint64(int(x) | 1) for x in _rng.integers(1 << 62, 1 << 63, 4))
-_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_A, _B, _C = (np.uint64(int(x) | 1) for x in _rng.integers(1 << 62, 1 << 63, 3))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Rank of documents that were accepted before.
+BEFORE = -(1 << 63)
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 SPANS = "doc_id long, text_bytes binary, starts array<long>, ends array<long>"
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = x ^ (x >> np.uint64(31))
-    x *= _A
-    x ^= x >> np.uint64(29)
-    x *= _B
-    x ^= x >> np.uint64(32)
-    return x
+#: ``note`` goes back to the chunk as it came.
+RUNS = f"{BLOBS}, note binary"
 
 
 class Chunk:
     """Documents' bytes end to end, with their runs: maximal stretches of windows of one document under one anchor."""
 
     def __init__(self, table: pa.Table):
-        table = table.combine_chunks()
-        ids = table.column("doc_id").to_numpy(zero_copy_only=False) if not table.column("doc_id").null_count else table.column("doc_id").fill_null(NULL_ID).to_numpy()
-        self.null = np.asarray(table.column("doc_id").is_null())
-        self.ids = ids.astype(np.int64)
-        texts = [x.as_buffer() for col in table.column("bytes").chunks for x in col]
+        self.ids, self.null = owners(table)
+        if "accepted" in table.column_names:
+            self.accepted = np.asarray(table.column("accepted"))
+            self.ids[self.accepted] = BEFORE
+        texts = buffers(table)
         size = np.array([x.size for x in texts], np.int64)
         self.ends = np.cumsum(size)
         self.begins = self.ends - size
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self._runs()
+        self.owner = self.ids[self.doc]
+        #: What decides on a run's bucket.
+        self.deal = self.key
 
     def _runs(self) -> None:
         n = len(self.data)
@@ -84,15 +94,10 @@ class Chunk:
             return
         wide = np.concatenate([self.data, np.zeros(GRAM, np.uint8)])
         word = np.ndarray((n + GRAM - 8 + 1,), "<u8", wide.data, 0, (1,))
-        m = _mixed(word[:n] * _A + word[8 : n + 8] * _B + word[GRAM - 8 : n + GRAM - 8] * _C)
-        span, k = WIDTH - GRAM + 1, 1
-        while k * 2 <= span:
-            m = np.minimum(m[:-k], m[k:])
-            k *= 2
-        if span > k:
-            m = np.minimum(m[: len(m) - (span - k)], m[span - k :])
+        m = mixed(word[:n] * _A + word[8 : n + 8] * _B + word[GRAM - 8 : n + GRAM - 8] * _C)
         windows = n - WIDTH + 1
-        m = m[:windows]
+        self._gram = m
+        m = slid(m, WIDTH - GRAM + 1, np.minimum)[:windows]
         inside = np.zeros(n + 1, np.int8)  # windows that end in the document they start in
         last = self.ends - WIDTH + 1
         full = last > self.begins
@@ -111,41 +116,63 @@ class Chunk:
         self.key = m[self.start]
         self.doc = np.searchsorted(self.ends, self.start, "right")
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors in order, and whether two documents of this chunk have each."""
-        order = np.argsort(self.key, kind="stable")
-        key, owner = self.key[order], self.ids[self.doc[order]]
-        lead = np.ones(len(key), bool)
-        lead[1:] = key[1:] != key[:-1]
-        at = np.flatnonzero(lead)
-        if not len(at):
-            return key, lead
-        return key[at], np.minimum.reduceat(owner, at) != np.maximum.reduceat(owner, at)
-
-    def content(self, runs: np.ndarray) -> np.ndarray:
-        """A hash of each run's bytes and length."""
-        n = len(self.data)
-        back = np.cumprod(np.full(n, _INV, np.uint64))
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.data] * back, out=total[1:])
-        ahead = np.cumprod(np.full(n, _BASE, np.uint64))
-        s, e = self.start[runs], self.start[runs] + self.count[runs] + WIDTH - 1
-        return _mixed((total[e] - total[s]) * ahead[s] + self.count[runs].astype(np.uint64) * _C)
-
-
-def _packed(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(len(b := np.ascontiguousarray(a).tobytes()).to_bytes(8, "little") + b for a in arrays)
-    return len(raw).to_bytes(8, "little") + bytes(pa.compress(raw, codec="zstd", asbytes=True))
-
-
-def _unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
-    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    out, at = [], 0
-    for kind in kinds:
-        size = int.from_bytes(raw[at : at + 8], "little")
-        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at + 8))
-        at += 8 + size
-    return out
+    def divide(self, hot: np.ndarray) -> None:
+        """Runs that are ``hot`` in pieces, by the anchor's place in their windows and the bytes that all windows with it there share."""
+        which = np.flatnonzero(hot)
+        if not len(which):
+            return
+        start, count = self.start[which], self.count[which]
+        # the first place of the anchor at or after each window's start: the nearest from the right, run by run
+        reach = count + WIDTH - GRAM
+        run = np.repeat(np.arange(len(which)), reach)
+        at = np.arange(len(run)) - np.repeat(np.cumsum(reach) - reach, reach) + start[run]
+        far = np.int64(1) << 40
+        hits = np.where(self._gram[at] == self.key[which][run], run * far + at, np.iinfo(np.int64).max)
+        first = np.minimum.accumulate(hits[::-1])[::-1] - run * far
+        window = at < start[run] + count[run]
+        at, run, first = at[window], run[window], first[window]
+        group = (first - at) // PLACES
+        begin = first - PLACES * group
+        shared = Rolling(_BYTE[self.data], 2).of(np.maximum(begin, 0), np.minimum(begin + WIDTH - PLACES + 1, len(self.data)))
+        deal = mixed(shared ^ group.astype(np.uint64) * _C)
+        edge = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (deal[1:] != deal[:-1])]))
+        cold = np.flatnonzero(~hot)
+        piece = which[run[edge]]
+        self.deal = np.concatenate([self.key[cold], deal[edge]])
+        self.start, self.count = np.concatenate([self.start[cold], at[edge]]), np.concatenate([self.count[cold], np.diff(np.append(edge, len(at)))])
+        self.doc, self.key, self.owner = (np.concatenate([x[cold], x[piece]]) for x in (self.doc, self.key, self.owner))
+
+    def content(self, runs: np.ndarray) -> list[np.ndarray]:
+        """128 bits for the bytes of each run, length included."""
+        s = self.start[runs]
+        e = s + self.count[runs] + WIDTH - 1
+        values = _BYTE[self.data]
+        return [Rolling(values, k).of(s, e) for k in (0, 1)]
+
+
+class Groups(NamedTuple):
+    """Runs of a chunk under recurring anchors, equal ones together."""
+
+    order: np.ndarray  # the runs
+    lead: np.ndarray  # where each group starts in ``order``
+    one: np.ndarray  # 128 bits of each group's content
+    two: np.ndarray
+    least: np.ndarray  # smallest and largest doc_id
+    most: np.ndarray
+
+
+def _groups(c: Chunk, key: np.ndarray, often: np.ndarray, hot: np.ndarray) -> Groups:
+    """Flags are of the chunk's distinct keys."""
+    if len(key):
+        c.divide(hot[np.searchsorted(key, c.key)])
+    runs = np.flatnonzero(often[np.searchsorted(key, c.key)]) if len(key) else np.zeros(0, np.int64)
+    one, two = c.content(runs)
+    order = np.lexsort((two, one))
+    runs, one, two = runs[order], one[order], two[order]
+    if not len(runs):
+        return Groups(runs, runs, one, two, runs, runs)
+    at = np.flatnonzero(np.concatenate([[True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])]))
+    return Groups(runs, at, one[at], two[at], np.minimum.reduceat(c.owner[runs], at), np.maximum.reduceat(c.owner[runs], at))
 
 
 def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -155,168 +182,105 @@ def _gathered(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nda
     return data[at + np.arange(total)] if total else np.zeros(0, np.uint8)
 
 
-def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
-    return ((key >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
-
-
-def _short(key: np.ndarray, buckets: int) -> np.ndarray:
-    """40 bits of an anchor within its bucket, five bytes each; equal ones are only candidates."""
-    low = (key ^ (key >> np.uint64(3))) & np.uint64((1 << 40) - 1)
-    return low
-
-
-def _rows(schema: str, **cols) -> pa.Table:
-    kinds = {"long": pa.int64(), "binary": pa.binary()}
-    return pa.table({c: pa.array(cols[c], kinds[k]) for c, k in (x.split() for x in schema.split(", "))})
-
-
-ANCHORS = "bucket long, chunk long, blob binary"
-
-
-def _send_anchors(buckets: int):
-    def send(table: pa.Table) -> pa.Table:
-        chunk = table.column("chunk")[0].as_py()
-        key, multi = Chunk(table).anchors()
-        to = _bucket(key, buckets)
-        rows = []
-        for b in np.unique(to):
-            mine = to == b
-            low = _short(key[mine], buckets)
-            order = np.argsort(low, kind="stable")
-            five = low[order].view(np.uint8).reshape(-1, 8)[:, :5]
-            rows.append((int(b), chunk, _packed(five, np.packbits(multi[mine][order]))))
-        return _rows(ANCHORS, bucket=[r[0] for r in rows], chunk=[r[1] for r in rows], blob=[r[2] for r in rows])
-
-    return send
-
-
-def _common(table: pa.Table) -> pa.Table:
-    """Which anchors of each chunk two documents have: one bit each, in the chunk's order."""
-    bucket = table.column("bucket")[0].as_py()
-    chunks, lows, multis = table.column("chunk").to_pylist(), [], []
-    for blob in table.column("blob"):
-        five, bits = _unpacked(blob.as_py(), "u1", "u1")
-        n = len(five) // 5
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :5] = five.reshape(n, 5)
-        lows.append(wide.view("<u8").ravel())
-        multis.append(np.unpackbits(bits)[:n].astype(bool))
-    low, multi = np.concatenate(lows), np.concatenate(multis)
-    distinct, at, seen = np.unique(low, return_inverse=True, return_counts=True)
-    often = seen > 1
-    often[at[multi]] = True
-    flags = np.split(often[at], np.cumsum([len(x) for x in lows])[:-1])
-    return _rows(ANCHORS, bucket=[bucket] * len(chunks), chunk=chunks, blob=[np.packbits(x).tobytes() for x in flags])
+def _keys_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    c = Chunk(table)
+    return c.key, c.owner
 
 
 def _send_runs(buckets: int):
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
+        rows, chunk = [], None
         if left.num_rows and right.num_rows:
-            chunk = left.column("chunk")[0].as_py()
-            c = Chunk(left)
-            key, _ = c.anchors()
-            to = _bucket(key, buckets)
-            common = np.zeros(len(key), bool)
-            for b, blob in zip(right.column("bucket").to_pylist(), right.column("blob"), strict=True):
-                mine = np.flatnonzero(to == b)
-                order = np.argsort(_short(key[mine], buckets), kind="stable")
-                common[mine[order]] = np.unpackbits(np.frombuffer(blob.as_py(), np.uint8))[: len(mine)].astype(bool)
-            runs = np.flatnonzero(common[np.searchsorted(key, c.key)])
-            if len(runs):
-                owner = c.ids[c.doc[runs]]
-                content = c.content(runs)
-                order = np.lexsort((owner, content))
-                runs, owner, content = runs[order], owner[order], content[order]
-                at = np.flatnonzero(np.concatenate([[True], content[1:] != content[:-1]]))
-                most = np.maximum.reduceat(owner, at)
-                runs, owner, content = runs[at], owner[at], content[at]
-                to = _bucket(c.key[runs], buckets)
-                for b in np.unique(to):
-                    x = np.flatnonzero(to == b)
-                    r = runs[x]
-                    text = _gathered(c.data, c.start[r], c.count[r] + WIDTH - 1)
-                    rows.append((int(b), chunk, _packed(c.key[r], content[x], c.count[r].astype(np.int32), owner[x], most[x], text)))
-        return _rows(ANCHORS, bucket=[r[0] for r in rows], chunk=[r[1] for r in rows], blob=[r[2] for r in rows])
+            chunk, c = left.column("chunk")[0].as_py(), Chunk(left)
+            key, _ = distinct_keys(c.key, c.owner)
+            often, hot = recurring(key, buckets, right)
+            g = _groups(c, key, often, hot)
+            heads = g.order[g.lead]
+            for b, x in split(bucket_of(c.deal[heads], buckets)):
+                r = heads[x]
+                text = _gathered(c.data, c.start[r], c.count[r] + WIDTH - 1)
+                rows.append((b, packed(g.one[x], g.two[x], c.count[r].astype(np.int32), g.least[x], g.most[x], text), None))
+            if rows:
+                rows.append((chunk % buckets, None, np.packbits(np.concatenate([often, hot])).tobytes()))
+        return rows_of(RUNS, bucket=[r[0] for r in rows], chunk=[chunk] * len(rows), blob=[r[1] for r in rows], note=[r[2] for r in rows])
 
     return send
 
 
+def _indexed(begin: np.ndarray, count: np.ndarray, owner: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Smallest owner of each window of the runs (by ascending owner), run after run; a batch of windows is copied at a time."""
+    edge = np.concatenate([[0], np.cumsum(count)])
+    out, index = np.empty(int(edge[-1]), np.int64), LogIndex(WIDTH, BATCH)
+    view = np.lib.stride_tricks.sliding_window_view(text, WIDTH)
+    for at in range(0, len(out), BATCH):
+        w = np.arange(at, min(at + BATCH, len(out)))
+        run = np.searchsorted(edge, w, "right") - 1
+        out[at : at + BATCH] = index.add(view[begin[run] + w - edge[run]], owner[run])
+    return out
+
+
 def _least_owners(table: pa.Table) -> pa.Table:
-    """For each chunk: its runs with windows that a document with a smaller id has, as stretches of (run, offset, owner)."""
+    """For each chunk: stretches (number of the run as it was sent, offset, size, owner) of windows that a document with a smaller id than the run's largest has."""
     bucket = table.column("bucket")[0].as_py()
-    chunks = table.column("chunk").to_pylist()
-    got = [_unpacked(x.as_py(), "u8", "u8", "i4", "i8", "i8", "u1") for x in table.column("blob")]
-    key, content, count, owner, most, text = (np.concatenate([g[k] for g in got]) for k in range(6))
-    count = count.astype(np.int64)
-    place = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
-    length = count + WIDTH - 1
-    begin = np.cumsum(length) - length
-    # the same run from several chunks: windows are indexed once, with the smallest owner
-    order = np.lexsort((owner, content, key))
-    lead = np.ones(len(order), bool)
-    lead[1:] = (content[order][1:] != content[order][:-1]) | (key[order][1:] != key[order][:-1])
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(lead) - 1
-    heads = order[lead]
-    fresh_key = np.ones(len(heads), bool)
-    fresh_key[1:] = key[heads][1:] != key[heads][:-1]
-    family = np.cumsum(fresh_key) - 1
-    single = np.bincount(family)[family] == 1  # no other text under this anchor: nothing else to compare
-    compared = heads[~single]
-    compared = compared[np.argsort(owner[compared], kind="stable")]
-    flat_owner, flat_at = np.zeros(0, np.int64), np.zeros(len(order), np.int64)
-    if len(compared):
-        n = count[compared]
-        flat_at[compared] = np.cumsum(n) - n
-        index, flat_owner, step = LogIndex(WIDTH), np.empty(int(n.sum()), np.int64), 1 << 14
-        view = np.lib.stride_tricks.sliding_window_view(text, WIDTH)
-        for at in range(0, len(compared), step):
-            part = compared[at : at + step]
-            starts = np.repeat(begin[part] - np.cumsum(count[part]) + count[part], count[part]) + np.arange(int(count[part].sum()))
-            flat_owner[flat_at[part[0]] : flat_at[part[0]] + len(starts)] = index.add(view[starts], np.repeat(owner[part], count[part]))
-    head_of = heads[group]
-    rows = []
-    for k, chunk in enumerate(chunks):
-        mine = np.flatnonzero(place == k)
-        head, n = head_of[mine], count[mine]
-        alone = single[group[mine]]
-        total = int(n.sum())
-        offset = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-        who = np.repeat(owner[head], n)
-        if len(flat_owner):
-            at = np.repeat(flat_at[head], n) + offset
-            split = np.repeat(~alone, n)
-            who[split] = flat_owner[at[split]]
-        useful = np.repeat(most[mine], n) > who
-        edge = np.ones(total, bool)
-        edge[1:] = (who[1:] != who[:-1]) | (useful[1:] != useful[:-1])
-        edge |= offset == 0
-        at = np.flatnonzero(edge)
-        size = np.diff(np.append(at, total))
-        keep = useful[at]
-        at, size = at[keep], size[keep]
-        if len(at):
-            run = np.repeat(mine, n)[at]
-            rows.append((bucket, chunk, _packed(content[run], offset[at].astype(np.int32), size.astype(np.int32), who[at])))
-    return _rows(ANCHORS, bucket=[r[0] for r in rows], chunk=[r[1] for r in rows], blob=[r[2] for r in rows])
-
-
-def _removed(c: Chunk, right: pa.Table) -> np.ndarray:
+    chunks, blobs, notes = (table.column(c).to_pylist() for c in ("chunk", "blob", "note"))
+    rows = [(k, None, n) for k, n in zip(chunks, notes, strict=True) if n is not None]
+    sent = [(k, unpacked(b, "u8", "u8", "i4", "i8", "i8", "u1")) for k, b in zip(chunks, blobs, strict=True) if b is not None]
+    if sent:
+        one, two, count, owner, most, text = (np.concatenate([x[k] for _, x in sent]) for k in range(6))
+        count = count.astype(np.int64)
+        begin = np.cumsum(count + WIDTH - 1) - count - WIDTH + 1
+        # the same run from several chunks: windows are indexed once, with the smallest owner
+        order = np.lexsort((owner, count, two, one))
+        lead = np.ones(len(order), bool)
+        lead[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1]) | (count[order][1:] != count[order][:-1])
+        head = np.empty(len(order), np.int64)
+        head[order] = order[lead][np.cumsum(lead) - 1]
+        fed = order[lead]
+        fed = fed[np.argsort(owner[fed], kind="stable")]
+        flat = _indexed(begin[fed], count[fed], owner[fed], text)
+        place = np.empty(len(order), np.int64)
+        place[fed] = np.cumsum(count[fed]) - count[fed]
+        edge = np.cumsum([0] + [len(x[0]) for _, x in sent])
+        for (k, _), s, e in zip(sent, edge[:-1], edge[1:], strict=True):
+            n = count[s:e]
+            offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            who = flat[np.repeat(place[head[s:e]], n) + offset]
+            useful = np.repeat(most[s:e], n) > who
+            change = np.ones(len(who), bool)
+            change[1:] = (who[1:] != who[:-1]) | (useful[1:] != useful[:-1])
+            change |= offset == 0
+            at = np.flatnonzero(change)
+            size = np.diff(np.append(at, len(who)))
+            at, size = at[useful[at]], size[useful[at]]
+            if len(at):
+                run = np.searchsorted(np.cumsum(n), at, "right")
+                rows.append((k, packed(run.astype(np.int32), offset[at].astype(np.int32), size.astype(np.int32), who[at]), None))
+    return rows_of(RUNS, bucket=[bucket] * len(rows), chunk=[r[0] for r in rows], blob=[r[1] for r in rows], note=[r[2] for r in rows])
+
+
+def _removed(c: Chunk, right: pa.Table, buckets: int) -> np.ndarray:
     """Which bytes of the chunk go."""
     n = len(c.data)
     cover = np.zeros(n + 1, np.int32)
-    got = [_unpacked(x.as_py(), "u8", "i4", "i4", "i8") for x in right.column("blob")]
-    if got and len(c.key):
-        content, offset, size, who = (np.concatenate([g[k] for g in got]) for k in range(4))
-        order = np.argsort(content, kind="stable")
-        content, offset, size, who = content[order], offset[order].astype(np.int64), size[order].astype(np.int64), who[order]
-        mine = c.content(np.arange(len(c.key)))
-        lo, hi = np.searchsorted(content, mine, "left"), np.searchsorted(content, mine, "right")
-        many = hi - lo
-        run = np.repeat(np.arange(len(mine)), many)
-        at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(len(run))
-        ok = who[at] < c.ids[c.doc[run]]
+    note, blobs = None, {}
+    for b, blob, x in zip(*(right.column(k).to_pylist() for k in ("bucket", "blob", "note")), strict=True):
+        if x is None:
+            blobs[b] = blob
+        else:
+            note = x
+    if note is not None and blobs:
+        key, _ = distinct_keys(c.key, c.owner)
+        flags = np.unpackbits(np.frombuffer(note, np.uint8))[: 2 * len(key)].astype(bool)
+        g = _groups(c, key, flags[: len(key)], flags[len(key) :])
+        got = [(x, unpacked(blobs[b], "i4", "i4", "i4", "i8")) for b, x in split(bucket_of(c.deal[g.order[g.lead]], buckets)) if b in blobs]
+        group = np.concatenate([x[a[0]] for x, a in got])
+        offset, size, who = (np.concatenate([a[k] for _, a in got]).astype(np.int64) for k in (1, 2, 3))
+        # every run of a group takes the stretches of its group
+        last = np.append(g.lead[1:], len(g.order))
+        many = last[group] - g.lead[group]
+        at = np.repeat(np.arange(len(group)), many)
+        run = g.order[np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + g.lead[group[at]]]
+        ok = who[at] < c.owner[run]
         run, at = run[ok], at[ok]
         begin = c.start[run] + offset[at]
         np.add.at(cover, begin, 1)
@@ -335,11 +299,7 @@ def _edges(c: Chunk, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(gone & (~before | border[:-1])), np.flatnonzero(gone & (~after | np.concatenate([border[1:-1], [True]]))) + 1
 
 
-def _digests(left: pa.Table, right: pa.Table) -> pa.Table:
-    c = Chunk(left) if left.num_rows else None
-    if c is None:
-        return pa.table({k: pa.array([], t) for k, t in zip(("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), [pa.int64()] * 4 + [pa.string()], strict=True)})
-    gone = _removed(c, right)
+def _digests(c: Chunk, gone: np.ndarray) -> pa.Table:
     starts, _ = _edges(c, gone)
     total = np.concatenate([[0], np.cumsum(gone)])
     removed = total[c.ends] - total[c.begins]
@@ -351,13 +311,7 @@ def _digests(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(c.ids, mask=c.null), "n_bytes": pa.array(c.ends - c.begins), "n_removed": pa.array(removed.astype(np.int64)), "n_spans": pa.array(spans.astype(np.int64)), "kept_sha256": pa.array(sha, pa.string())})
 
 
-def _span_rows(left: pa.Table, right: pa.Table) -> pa.Table:
-    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-    names = ("doc_id", "text_bytes", "starts", "ends")
-    if not left.num_rows:
-        return pa.table({k: pa.array([], t) for k, t in zip(names, kinds, strict=True)})
-    c = Chunk(left)
-    gone = _removed(c, right)
+def _span_rows(c: Chunk, gone: np.ndarray) -> pa.Table:
     starts, ends = _edges(c, gone)
     lo, hi = np.searchsorted(starts, c.begins), np.searchsorted(starts, c.ends)
     cols = [[], [], [], []]
@@ -366,27 +320,36 @@ def _span_rows(left: pa.Table, right: pa.Table) -> pa.Table:
         cols[1].append(c.data[s:e][~gone[s:e]].tobytes())
         cols[2].append((starts[lo[k] : hi[k]] - s).tolist())
         cols[3].append((ends[lo[k] : hi[k]] - s).tolist())
-    return pa.table({n: pa.array(x, t) for n, x, t in zip(names, cols, kinds, strict=True)})
+    kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    return pa.table({n: pa.array(x, t) for n, x, t in zip(("doc_id", "text_bytes", "starts", "ends"), cols, kinds, strict=True)})
+
+
+def _finish(buckets: int, make):
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = Chunk(left)
+        out = make(c, _removed(c, right, buckets))
+        return out.filter(pa.array(~c.accepted)) if "accepted" in left.column_names else out
+
+    return finish
 
 
-def _applied(docs: DataFrame, last, schema: str) -> DataFrame:
-    spark = docs.sparkSession
-    n = parts(spark)
-    base = prepared(docs).select("doc_id", F.col("text").cast("binary").alias("bytes"))
-    size = base.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    chunks = n * max(1, min(MOST_CHUNKS, -(-size // (n * CHUNK_BYTES))))
-    base = base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "bytes"), F.lit(chunks)))
-    common = base.groupBy("chunk").applyInArrow(_send_anchors(chunks), ANCHORS).groupBy("bucket").applyInArrow(_common, ANCHORS)
-    runs = base.groupBy("chunk").cogroup(common.groupBy("chunk")).applyInArrow(_send_runs(chunks), ANCHORS)
-    found = runs.groupBy("bucket").applyInArrow(_least_owners, ANCHORS)
-    return base.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(last, schema)
+def _applied(docs: DataFrame, earlier: DataFrame | None, make, schema: str) -> DataFrame:
+    buckets = BUCKETS * parts(docs.sparkSession)
+    if earlier is not None:
+        mark = lambda df, x: df.select("doc_id", "text", F.lit(x).alias("accepted"))
+        docs = mark(docs, False).unionByName(mark(earlier, True))
+    chunks = dealt(docs, CHUNK_BYTES, *["accepted"] * (earlier is not None)).groupBy("chunk")
+    often = chunks.applyInArrow(send_keys(_keys_of, buckets), BLOBS).groupBy("bucket").applyInArrow(common, BLOBS)
+    runs = chunks.cogroup(often.groupBy("chunk")).applyInArrow(_send_runs(buckets), RUNS)
+    found = runs.groupBy("bucket").applyInArrow(_least_owners, RUNS)
+    return chunks.cogroup(found.groupBy("chunk")).applyInArrow(_finish(buckets, make), schema)
 
 
-def dedup_spans(docs: DataFrame) -> DataFrame:
+def dedup_spans(docs: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Per document: the bytes that stay, and starts and ends of the removed runs."""
-    return _applied(docs, _span_rows, SPANS)
+    return _applied(docs, earlier, _span_rows, SPANS)
 
 
-def dedup_digests(docs: DataFrame) -> DataFrame:
+def dedup_digests(docs: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    return _applied(docs, _digests, RESULT)
+    return _applied(docs, earlier, _digests, RESULT)
