@@ -117,8 +117,11 @@ def follow_the_leader(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: in
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_ROWS) -> Model:
     got = sample(docs, labels, label, most).mapInArrow(_counted, "doc_id long, label int, index array<int>, n array<int>").toArrow()
-    rows = sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "label", "index", "n")), strict=True), key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))
-    return follow_the_leader([(int(y == 1), np.array(i, np.int64), np.array(n, float)) for _, y, i, n in rows])
+    ids, y, index, n = (got.column(c).combine_chunks() for c in ("doc_id", "label", "index", "n"))
+    # slices of the Arrow buffers: as Python values, the features of all rows would take ten times the memory
+    edge, index, n = index.offsets.to_numpy(), index.values.to_numpy(), n.values.to_numpy()
+    order = sorted(range(len(ids)), key=lambda k: (zlib.crc32(str(ids[k].as_py()).encode()), ids[k].as_py()))
+    return follow_the_leader([(int(y[k].as_py() == 1), index[edge[k] : edge[k + 1]], n[edge[k] : edge[k + 1]]) for k in order])
 
 
 def _scored(shared):
