@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, prepared
+from .common import NULL_ID, cut, prepared
 
 BLOBS = "bucket long, chunk long, blob binary"
 HOT = 64
@@ -29,6 +29,21 @@ def dealt(docs: DataFrame, chunk_bytes: int, *more: str) -> DataFrame:
     return base.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "bytes"), F.lit(max(1, -(-size // chunk_bytes)))))
 
 
+def dealt_by_text(docs: DataFrame, chunk_bytes: int, *more: str) -> DataFrame:
+    """As ``dealt``, but equal texts share a chunk, which tells their keys and stretches once. Only texts whose copies have more than a quarter of a chunk's bytes are dealt to as many chunks as that takes."""
+    base = prepared(docs, *more).select("doc_id", *more, F.col("text").cast("binary").alias("bytes"))
+    size, th, quarter = F.octet_length("bytes"), F.xxhash64("bytes"), max(1, chunk_bytes // 4)
+    texts = cut(base.groupBy(th.alias("hot")).agg(F.sum(size).alias("all"), F.max(size).alias("each")))
+    chunks = max(1, -(-(texts.agg(F.sum("all")).first()[0] or 0) // chunk_bytes))
+    # at most four for each chunk
+    hot = cut(texts.where((F.col("all") > quarter) & (F.col("all") > F.col("each"))).select("hot", F.ceil(F.col("all") / quarter).alias("shares")), texts)
+    if hot.isEmpty():
+        return base.withColumn("chunk", F.pmod(th, F.lit(chunks)))
+    share = F.when(F.col("shares").isNotNull(), F.pmod(F.xxhash64("doc_id"), "shares"))
+    out = base.withColumn("th", th).join(F.broadcast(hot), F.col("th") == F.col("hot"), "left")
+    return out.select("doc_id", *more, "bytes", F.pmod(F.when(share.isNull(), F.col("th")).otherwise(F.xxhash64("th", share)), F.lit(chunks)).alias("chunk"))
+
+
 def owners(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Rank of each row's document (its doc_id; without one, the last), and which have none."""
     ids = table.column("doc_id").combine_chunks()
@@ -44,6 +59,16 @@ def packed(*arrays: np.ndarray) -> bytes:
     return len(raw).to_bytes(8, "little") + bytes(pa.compress(raw, codec="zstd", asbytes=True))
 
 
+def planes(x: np.ndarray) -> np.ndarray:
+    """The lowest byte of all numbers, then the next of all: small numbers compress to their low bytes."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T
+
+
+def of_planes(x: np.ndarray, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(x.reshape(width, -1).T).view(kind).ravel()
+
+
 def unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
     raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
     out, at = [], 0

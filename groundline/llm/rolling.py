@@ -13,8 +13,8 @@ _rng = np.random.default_rng(20240607)
 _M1, _M2 = (np.uint64(int(x) | 1) for x in _rng.integers(1 << 62, 1 << 63, 2))
 _BASES = [np.uint64(int(x) | 1) for x in _rng.integers(1 << 62, 1 << 63, 3)]
 _SALTS = [np.uint64(int(x) | 1) for x in _rng.integers(1 << 62, 1 << 63, 3)]
-#: Powers of each base and of its inverse, as far as any text here has needed them.
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Powers are products of two from short tables (of one step, of ``STEP`` steps), so that no long table stays in a worker.
+STEP = 1 << 12
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -26,15 +26,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _of_base(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _powers.get(k)
-    if have is None or len(have[0]) <= n:
-        size = 1 << max(12, n.bit_length())
-        inverse = np.uint64(pow(int(_BASES[k]), -1, 1 << 64))
-        have = tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, x, np.uint64)])) for x in (_BASES[k], inverse))
-        if size <= 1 << 23:  # longer ones are made again: they shouldn't stay in memory
-            _powers[k] = have
-    return have
+class _Powers:
+    """Powers 0 to n of a number modulo 2**64."""
+
+    def __init__(self, x: np.uint64, n: int):
+        run = lambda y, m: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(m, y, np.uint64)]))
+        self.one = run(x, STEP - 1)
+        self.many = run(np.uint64(pow(int(x), STEP, 1 << 64)), n // STEP)
+
+    def first(self, n: int) -> np.ndarray:
+        return (self.many[:, None] * self.one).ravel()[:n]
+
+    def at(self, k: np.ndarray) -> np.ndarray:
+        return self.many[k // STEP] * self.one[k % STEP]
 
 
 class Rolling:
@@ -42,13 +46,15 @@ class Rolling:
 
     def __init__(self, values: np.ndarray, k: int):
         n = len(values)
-        self.ahead, back = (x[: n + 1] for x in _of_base(k, n))
+        self.ahead = _Powers(_BASES[k], n)
         self.salt = _SALTS[k]
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * back[:n], out=self.total[1:])
+        weighed = _Powers(np.uint64(pow(int(_BASES[k]), -1, 1 << 64)), n).first(n)
+        weighed *= values
+        np.cumsum(weighed, out=self.total[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.total[end] - self.total[start]) * self.ahead[start] + (end - start).astype(np.uint64) * self.salt)
+        return mixed((self.total[end] - self.total[start]) * self.ahead.at(start) + (end - start).astype(np.uint64) * self.salt)
 
 
 def slid(x: np.ndarray, n: int, pick) -> np.ndarray:

@@ -8,7 +8,8 @@ doc_id. Equal windows of WIDTH bytes have an equal anchor (the smallest hash amo
    anchor's bucket) and learns which of them other documents have too (``exchange``);
 2. it sends the text of the maximal runs of windows under these anchors, each distinct
    run once with its smallest and largest doc_id, so a run that a third of all documents
-   have costs a bucket one record per chunk;
+   have costs a bucket one record per chunk; equal texts share a chunk, so copies of whole
+   texts send theirs once;
 3. the bucket feeds the windows of all distinct runs, by ascending doc_id and a bounded
    batch at a time, to a logarithmic family of suffix arrays (``suffix_index.LogIndex``),
    which compares whole windows, and answers with the smallest doc_id for each stretch of
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import parts
-from .exchange import BLOBS, bucket_of, buffers, common, dealt, distinct_keys, owners, packed, recurring, rows_of, send_keys, split, unpacked
+from .exchange import BLOBS, bucket_of, buffers, common, dealt_by_text, distinct_keys, of_planes, owners, packed, planes, recurring, rows_of, send_keys, split, unpacked
 from .rolling import Rolling, mixed, slid
 from .suffix_index import LogIndex
 
@@ -199,7 +200,7 @@ def _send_runs(buckets: int):
             for b, x in split(bucket_of(c.deal[heads], buckets)):
                 r = heads[x]
                 text = _gathered(c.data, c.start[r], c.count[r] + WIDTH - 1)
-                rows.append((b, packed(g.one[x], g.two[x], c.count[r].astype(np.int32), g.least[x], g.most[x], text), None))
+                rows.append((b, packed(planes(c.count[r].astype(np.int32)), planes(g.least[x]), planes(g.most[x] - g.least[x]), text), None))
             if rows:
                 rows.append((chunk % buckets, None, np.packbits(np.concatenate([often, hot])).tobytes()))
         return rows_of(RUNS, bucket=[r[0] for r in rows], chunk=[chunk] * len(rows), blob=[r[1] for r in rows], note=[r[2] for r in rows])
@@ -219,15 +220,25 @@ def _indexed(begin: np.ndarray, count: np.ndarray, owner: np.ndarray, text: np.n
     return out
 
 
+def _received(blob: bytes) -> tuple[np.ndarray, ...]:
+    """Runs of a chunk: 128 bits of each's content, number of windows, smallest and largest owner, text."""
+    *numbers, text = unpacked(blob, "u1", "u1", "u1", "u1")
+    count, least, more = (of_planes(x, kind) for x, kind in zip(numbers, ("<i4", "<i8", "<i8"), strict=True))
+    count = count.astype(np.int64)
+    e = np.cumsum(count + WIDTH - 1)
+    one, two = (Rolling(_BYTE[text], k).of(e - count - WIDTH + 1, e) for k in (0, 1))
+    return one, two, count, least, least + more, text
+
+
 def _least_owners(table: pa.Table) -> pa.Table:
     """For each chunk: stretches (number of the run as it was sent, offset, size, owner) of windows that a document with a smaller id than the run's largest has."""
     bucket = table.column("bucket")[0].as_py()
-    chunks, blobs, notes = (table.column(c).to_pylist() for c in ("chunk", "blob", "note"))
+    chunks, notes = (table.column(c).to_pylist() for c in ("chunk", "note"))
     rows = [(k, None, n) for k, n in zip(chunks, notes, strict=True) if n is not None]
-    sent = [(k, unpacked(b, "u8", "u8", "i4", "i8", "i8", "u1")) for k, b in zip(chunks, blobs, strict=True) if b is not None]
+    sent = [(k, _received(b.as_py())) for k, b in zip(chunks, table.column("blob"), strict=True) if b.is_valid]
     if sent:
         one, two, count, owner, most, text = (np.concatenate([x[k] for _, x in sent]) for k in range(6))
-        count = count.astype(np.int64)
+        sent = [(k, len(x[0])) for k, x in sent]
         begin = np.cumsum(count + WIDTH - 1) - count - WIDTH + 1
         # the same run from several chunks: windows are indexed once, with the smallest owner
         order = np.lexsort((owner, count, two, one))
@@ -240,7 +251,7 @@ def _least_owners(table: pa.Table) -> pa.Table:
         flat = _indexed(begin[fed], count[fed], owner[fed], text)
         place = np.empty(len(order), np.int64)
         place[fed] = np.cumsum(count[fed]) - count[fed]
-        edge = np.cumsum([0] + [len(x[0]) for _, x in sent])
+        edge = np.cumsum([0] + [n for _, n in sent])
         for (k, _), s, e in zip(sent, edge[:-1], edge[1:], strict=True):
             n = count[s:e]
             offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
@@ -338,7 +349,7 @@ def _applied(docs: DataFrame, earlier: DataFrame | None, make, schema: str) -> D
     if earlier is not None:
         mark = lambda df, x: df.select("doc_id", "text", F.lit(x).alias("accepted"))
         docs = mark(docs, False).unionByName(mark(earlier, True))
-    chunks = dealt(docs, CHUNK_BYTES, *["accepted"] * (earlier is not None)).groupBy("chunk")
+    chunks = dealt_by_text(docs, CHUNK_BYTES, *["accepted"] * (earlier is not None)).groupBy("chunk")
     often = chunks.applyInArrow(send_keys(_keys_of, buckets), BLOBS).groupBy("bucket").applyInArrow(common, BLOBS)
     runs = chunks.cogroup(often.groupBy("chunk")).applyInArrow(_send_runs(buckets), RUNS)
     found = runs.groupBy("bucket").applyInArrow(_least_owners, RUNS)

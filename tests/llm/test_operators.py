@@ -9,7 +9,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from groundline.llm import components, exact_dedup, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup
+from groundline.llm import components, exact_dedup, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, rolling, simhash, substring_dedup, suffix_dedup
+from groundline.llm.exchange import dealt_by_text, distinct_keys
 from groundline.llm.suffix_index import LogIndex, suffix_order
 
 CLASHING = {c: "x" for c in ("id", "th", "a", "b", "pos", "chunk", "bucket", "blob", "bytes", "fp", "rep", "row", "group", "size", "key", "dropped", "first", "score", "label", "n", "cell", "s", "head", "hash", "salt", "text_sha256", "times", "copy", "u", "v", "removed")}
@@ -97,6 +98,37 @@ def test_suffix_dedup_of_a_new_batch(spark, rows):
     assert got == Counter(r for r in suffix_brute(ranked) if r[0] != -1)
 
 
+def test_suffix_dedup_deals_equal_texts_together(spark, monkeypatch):
+    rnd = random.Random(31)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    shared = text(120)
+    rows = [(20 * k + c, x) for k, x in enumerate([text(150) + shared + text(100) for _ in range(30)]) for c in range(3)]
+    rows += [(5000 + c, shared * 3) for c in range(60)] + [(6000, None), (6000, ""), (None, rows[0][1]), (7, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    at = defaultdict(set)
+    for r in dealt_by_text(docs, 8000).collect():
+        at[bytes(r.bytes).decode()].add(r.chunk)
+    assert 2 <= len(at.pop(shared * 3)) <= 15  # 21,600 bytes of copies, in shares of 2,000
+    assert len(set().union(*at.values())) > 3 and all(len(x) == 1 for x in at.values())
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 8000)
+    assert Counter(tuple(r) for r in suffix_dedup.dedup_digests(docs).collect()) == Counter(suffix_brute(rows))
+
+
+def test_suffix_chunks_send_text_and_little_else_and_keep_no_tables():
+    import pyarrow as pa
+
+    data = np.random.default_rng(3).integers(32, 127, 200_000).astype(np.uint8).tobytes().decode()
+    chunk = pa.table({"doc_id": [1], "chunk": [0], "bytes": [data.encode()]})
+    c = suffix_dedup.Chunk(chunk)
+    key, _ = distinct_keys(c.key, c.owner)
+    often = pa.table({"bucket": [0], "chunk": [0], "blob": [np.packbits(np.concatenate([np.ones(len(key), bool), np.zeros(len(key), bool)])).tobytes()]})
+    sent = suffix_dedup._send_runs(1)(chunk, often)
+    # zstd makes 0.64 of such runs; 16 bytes of hashes for each would make it 0.88
+    assert len(sent["blob"][0].as_py()) < 0.7 * (c.count + 49).sum()
+    kept = [x for v in vars(rolling).values() for x in (v.values() if isinstance(v, dict) else [v])]
+    assert sum(y.nbytes for x in kept for y in (x if isinstance(x, tuple) else [x]) if isinstance(y, np.ndarray)) < 1 << 16
+
+
 def test_suffix_dedup_with_divided_anchors(monkeypatch):
     import pyarrow as pa
 
