@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from groundline.llm import components, exact_dedup, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, rolling, simhash, substring_dedup, suffix_dedup
+from groundline.llm import components, exact_dedup, line_dedup, mixing, packing, pii, quality_classifier, quality_rules, rolling, similar, simhash, substring_dedup, suffix_dedup
 from groundline.llm.exchange import dealt_by_text, distinct_keys
 from groundline.llm.suffix_index import LogIndex, suffix_order
 
@@ -486,6 +486,53 @@ def test_near_copies_of_five_word_shingles(spark):
     assert sorted(r.doc_id for r in got.collect()) == [rows[k][0] for k, r in enumerate(label) if k == r]
 
 
+def crowd_of_sets(rng, n=300):
+    """A bucket's table: sets about two bases that share from a third to nearly all of their shingles, each its own component."""
+    import pyarrow as pa
+
+    bases = rng.integers(0, 1 << 63, (2, 120), dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(bases[k % 2], 120 - m, replace=False), rng.integers(0, 1 << 63, m, dtype=np.uint64)])) for k, m in enumerate(rng.integers(3, 50, n))]
+    ids = np.arange(n, dtype=np.int64) * 7
+    return sets, pa.table({"bucket": np.zeros(n, np.int64), "u": ids, "n": np.array([len(x) for x in sets], np.int32), "sketch": [similar.fingerprint(x).tobytes() for x in sets], "root": ids, "hashes": [x.tobytes() for x in sets]})
+
+
+def test_crowds_give_a_forest_of_all_their_links():
+    sets, table = crowd_of_sets(np.random.default_rng(5))
+    root = list(range(len(sets)))
+    want = simhash._forest(len(sets), *np.array([(a, b) for a in range(len(sets)) for b in range(a) if len(x := np.intersect1d(sets[a], sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - len(x))]).T)
+    links = similar._linked(0.8)(similar._meeting(0.8)(table))
+    assert 30 < links.num_rows < len(root)  # of a forest, not of all pairs
+    got = simhash._forest(len(sets), links["u"].to_numpy() // 7, links["v"].to_numpy() // 7)
+    assert (got == want).all()
+    one = table.set_column(4, "root", [np.zeros(len(sets), np.int64)])
+    assert not similar._meeting(0.8)(one).num_rows  # a component's own pairs aren't searched
+
+
+def test_pivot_tables_discard_only_pairs_beyond_the_radius():
+    sets, table = crowd_of_sets(np.random.default_rng(6))
+    entry, root = similar._members(table)
+    most = similar.radius(0.8)
+    found = {frozenset((k, j)) for k, other in similar.searched(entry, root, 0.8) for j in other.tolist()}
+    away = lambda a, b: int(np.bitwise_count(entry["sketch"][a] ^ entry["sketch"][b]).sum())
+    sized = lambda a, b: min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b]))
+    assert found == {frozenset((a, b)) for a in range(len(sets)) for b in range(a) if away(a, b) <= most and sized(a, b)}
+    pivots = similar.pivot_table(entry, most).astype(int)
+    discarded = [(a, b) for a in range(len(sets)) for b in range(a) if abs(pivots[a] - pivots[b]).max() > most]
+    assert len(discarded) > 100 and all(away(a, b) > most for a, b in discarded)
+
+
+def test_radius_of_wide_fingerprints():
+    rng = np.random.default_rng(7)
+    h = rng.integers(0, 1 << 63, 70, dtype=np.uint64)
+    ones = [[int((((int(x) ^ int(s)) * int(o)) % (1 << 64)) ^ (((int(x) ^ int(s)) * int(o)) % (1 << 64)) >> 33) * 0xFF51AFD7ED558CCD % (1 << 64) for s, o in similar._SIGNS.T] for x in h]
+    bits = [sum((w[k // 64] ^ w[k // 64] >> 33) >> k % 64 & 1 for w in ones) * 2 > len(h) for k in range(256)]
+    assert np.unpackbits(similar.fingerprint(h).view(np.uint8), bitorder="little").tolist() == bits
+    for c, x, y in ((4, 0, 1), (8, 1, 1), (40, 5, 5), (200, 25, 25)):  # 0.8 of the union
+        base, more = rng.integers(0, 1 << 63, (500, c), dtype=np.uint64), rng.integers(0, 1 << 63, (500, x + y), dtype=np.uint64)
+        d = [np.bitwise_count(similar.fingerprint(np.append(b, m[:x])) ^ similar.fingerprint(np.append(b, m[x:]))).sum() for b, m in zip(base, more, strict=True)]
+        assert max(d) <= similar.radius(0.8) < 128 and np.mean(d) == pytest.approx(256 * similar._differing(c, x, y), rel=0.03)
+
+
 @pytest.mark.parametrize("by", [{}, {"shingle": 5, "similarity": 0.8}])
 def test_one_row_of_each_component_stays(spark, by):
     rnd = random.Random(19)
